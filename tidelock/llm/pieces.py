@@ -1,10 +1,11 @@
 """Exact encoding with a public tokenizer at the price of one dictionary look-up a word.
 
-Encoding a text costs about half a microsecond a byte, nearly all of it in regular expressions that split it. A text
-may be cut before a blank or line feed whose next character is no white space: the splitting expressions of the two
+Encoding a text costs about half a microsecond a byte. A text may be cut before a blank or line feed whose next character
+is no white space, and before ASCII punctuation that follows a letter or digit: the splitting expressions of the two
 supported kinds of tokenizer look only forward, no match of theirs runs past such a place, and the one look-ahead
-(`\\s+(?!\\S)`) gives the same tokens for what stands before it. Neither does Unicode composition cross a blank. So
-the ids of a text are the ids of its pieces, one after another; equal pieces are encoded once and kept.
+(`\\s+(?!\\S)`) gives the same tokens for what stands before it. Neither does Unicode composition cross these places. So
+the ids of a text are the ids of its pieces, one after another. Equal pieces of a chunk are encoded once, and those that
+are seen again later are kept. Where a tokenizer lower-cases and drops white space, so do the pieces (ASCII only).
 Tokenizers of another kind get whole texts.
 """
 
@@ -19,6 +20,8 @@ import pyarrow as pa
 #: Pieces kept by a worker, and bytes of text that are worked on at once.
 KEPT_PIECES = 400_000
 CHUNK_BYTES = 4 << 20
+#: New pieces that are encoded in one call.
+MARKED_PIECES = 100
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -51,6 +54,16 @@ _BLANKISH = np.zeros(256, bool)
 _BLANKISH[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+# Second bytes, after 0xC3, of Latin letters.
+_LATIN = np.zeros(256, bool)
+_LATIN[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
+_FOLD = np.array([32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
+
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string column without nulls."""
     col = col.cast(pa.large_string())
@@ -77,31 +90,61 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = _cuts_at_spaces(json.loads(self.tokenizer.to_str()))
+        spec = json.loads(self.tokenizer.to_str())
+        self.split = _cuts_at_spaces(spec)
+        self.folds = self.split and spec.get("normalizer") is not None
+        # A special token parts a text into segments that are encoded each by itself: many pieces in one call.
+        marks = [t for t in spec["added_tokens"] if t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.mark, self.mark_id = (marks[0]["content"], marks[0]["id"]) if marks else (None, None)
+        self.joined = Tokenizer.from_file(path)
         self._forget()
 
     def _forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.kept_ids, self.seen = 0, np.zeros(1 << 23, bool)
 
     def _slots_of(self, pieces: list[str]) -> np.ndarray:
-        if len(self.slots) + len(pieces) > KEPT_PIECES and self.slots:
+        """Places of the pieces in starts and lengths. Pieces met for the first time are dropped at the next call."""
+        if len(self.slots) > KEPT_PIECES:
             self._forget()
-        slots = self.slots
+        slots, base = self.slots, len(self.slots)
+        self.starts, self.lengths, self.ids = self.starts[:base], self.lengths[:base], self.ids[: self.kept_ids]
         found = np.fromiter((slots.get(p, -1) for p in pieces), np.int64, len(pieces))
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            new = [pieces[i] for i in missing]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            base = len(self.starts)
+            place = np.fromiter((hash(pieces[i]) for i in missing), np.int64, len(missing)) & (len(self.seen) - 1)
+            again = self.seen[place]
+            self.seen[place] = True
+            missing = np.concatenate([missing[again], missing[~again]])
+            new, n = [pieces[i] for i in missing], int(again.sum())
+            ids, lengths = self._encode_new(new)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))])
-            slots.update(zip(new, range(base, base + len(new)), strict=True))
+            self.kept_ids = len(self.ids) + int(lengths[:n].sum())
+            self.ids = np.concatenate([self.ids, ids])
+            slots.update(zip(new[:n], range(base, base + n), strict=True))
             found[missing] = np.arange(base, base + len(new))
         return found
 
+    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all pieces and their numbers."""
+        ids, lengths = [], []
+        for at in range(0, len(new), MARKED_PIECES):
+            part = new[at : at + MARKED_PIECES]
+            text = self.mark.join(part) if self.mark else ""
+            if self.mark and all(text.count(s) == (len(part) - 1 if s == self.mark else 0) for s in self.specials):
+                got = np.asarray(self.joined.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+                marks = np.flatnonzero(got == self.mark_id)
+                lengths.append(np.diff(np.concatenate([[-1], marks, [len(got)]])) - 1)
+                ids.append(np.delete(got, marks))
+            else:
+                each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, each), np.int64, len(each)))
+                ids.append(np.fromiter((i for x in each for i in x), np.int32, int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths)
+
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids (int32) of all texts of a column without nulls, and offsets (int64) of each text's ids."""
         n = len(col)
@@ -113,10 +156,16 @@ class PieceEncoder:
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
             return np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1])), ends
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        if self.folds:
+            data = _FOLD[data]
         sep = (data[:-1] == 32) | (data[:-1] == 10)
         sep &= ~_BLANKISH[data[1:]]
         cut = np.zeros(len(data) + 1, bool)
         cut[:-2] = sep
+        mark = _PUNCT[data[1:]] & (_ALNUM[data[:-1]] | _LATIN[data[:-1]])
+        latin = np.flatnonzero(mark & ~_ALNUM[data[:-1]])
+        mark[latin] = data[latin - 1] == 0xC3  # a byte of 0x80 and above is never the first of a text
+        cut[1:-1] |= mark
         cut[offsets] = True  # a blank at the end of a text stands before the next text: those cuts are there anyway
         ends = offsets[1:][offsets[1:] > offsets[:-1]] - 1
         last = ends[(data[ends] == 32) | (data[ends] == 10)]  # no character follows it in its own text
@@ -126,7 +175,7 @@ class PieceEncoder:
         slot = self._slots_of(pieces.dictionary.to_pylist())[pieces.indices.to_numpy(zero_copy_only=False)]
         lengths = self.lengths[slot]
         done = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.arange(done[-1]) + np.repeat(self.starts[slot] - done[:-1], lengths)
+        at = np.arange(done[-1], dtype=np.int32) + np.repeat((self.starts[slot] - done[:-1]).astype(np.int32), lengths)
         return self.ids[at], done[np.searchsorted(bounds, offsets)]
 
 
