@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pieces
+from .common import materialize
 
 #: Lengths are summed in blocks of so many, so that no task holds all of them.
-BLOCK = 4096
+BLOCK = 256
 
 
 def count_ids(batches, path: str):
@@ -31,7 +32,8 @@ def count_ids(batches, path: str):
 def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(n_tokens, n_docs): documents by exact encoded length. Null and empty texts have length 0; an empty table gives no rows."""
     lengths = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(partial(count_ids, path=tokenizer), "n_tokens bigint")
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Written, since the sums read it twice and its rows cost an encoding of all texts.
+    return materialize(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "length-histogram")
 
 
 def with_suffix_sums(hist: DataFrame) -> DataFrame:
