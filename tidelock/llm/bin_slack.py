@@ -30,7 +30,7 @@ def cut_partition(batches, path: str, capacity: int, end_id: int):
     from pyspark import TaskContext
 
     part, enc, seen = TaskContext.get().partitionId(), pieces.encoder(path), np.zeros(capacity + 1, np.int64)
-    for batch in batches:
+    for batch in pieces.released(batches):
         doc_ids, texts = batch.column(0), pieces.filled(batch.column(1))
         for a, b in pieces.chunks(texts):
             ids, offsets = pieces.with_end(*enc.encode(texts.slice(a, b - a)), end_id)

@@ -23,7 +23,7 @@ BLOCK = 256
 
 def count_ids(batches, path: str):
     enc = pieces.encoder(path)
-    for batch in batches:
+    for batch in pieces.released(batches):
         texts = pieces.filled(batch.column(0))
         for a, b in pieces.chunks(texts):
             yield pa.RecordBatch.from_arrays([pa.array(np.diff(enc.encode(texts.slice(a, b - a))[1]))], names=["n_tokens"])

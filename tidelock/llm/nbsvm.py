@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +31,14 @@ _ids: dict[object, int] = {}
 
 
 def _shape(word: bytes) -> str:
-    if len(_shapes) > 200_000:
+    if len(_shapes) > 50_000:
         _shapes.clear()
     shape = _shapes[word] = _RUNS.sub(rb"\1", word.translate(_CLASSES))[:12].decode("ascii", "replace")
     return shape
 
 
 def _id(gram) -> int:
-    if len(_ids) > 200_000:
+    if len(_ids) > 50_000:
         _ids.clear()
     text = gram if isinstance(gram, str) else "\x1f".join(gram)
     got = _ids[gram] = zlib.crc32(text.encode()) & ((1 << FEATURE_BITS) - 1)
@@ -148,7 +149,9 @@ def score(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(features(t)) for t in texts], dtype="float64")
+        out = pd.Series([model.score(features(t)) for t in texts], dtype="float64")
+        pa.default_memory_pool().release_unused()  # workers live as long as their executor
+        return out
 
     return scores(text.cast("string"))
 

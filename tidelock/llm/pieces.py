@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces kept by a worker, and bytes of text that are worked on at once.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 CHUNK_BYTES = 4 << 20
 #: New pieces that are encoded in one call.
 MARKED_PIECES = 100
@@ -97,7 +97,6 @@ class PieceEncoder:
         marks = [t for t in spec["added_tokens"] if t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.mark, self.mark_id = (marks[0]["content"], marks[0]["id"]) if marks else (None, None)
-        self.joined = Tokenizer.from_file(path)
         self._forget()
 
     def _forget(self) -> None:
@@ -135,7 +134,9 @@ class PieceEncoder:
             part = new[at : at + MARKED_PIECES]
             text = self.mark.join(part) if self.mark else ""
             if self.mark and all(text.count(s) == (len(part) - 1 if s == self.mark else 0) for s in self.specials):
-                got = np.asarray(self.joined.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+                self.tokenizer.encode_special_tokens = False  # here, and here alone, the mark is a token
+                got = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+                self.tokenizer.encode_special_tokens = True
                 marks = np.flatnonzero(got == self.mark_id)
                 lengths.append(np.diff(np.concatenate([[-1], marks, [len(got)]])) - 1)
                 ids.append(np.delete(got, marks))
@@ -184,6 +185,14 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndar
     return np.insert(ids, offsets[1:], np.int32(end_id)), offsets + np.arange(len(offsets))
 
 
+def released(batches):
+    """The batches, with memory that Arrow holds but no longer uses given back after each: workers live as long as their executor."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def filled(col: pa.ChunkedArray | pa.Array) -> pa.Array:
     """The column as one array, null texts as empty ones."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col

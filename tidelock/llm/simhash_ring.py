@@ -48,7 +48,7 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprint_batches(batches, shingle: int):
-    for batch in batches:
+    for batch in pieces.released(batches):
         texts = pieces.filled(batch.column(1))
         data, offsets = pieces.column_bytes(texts)
         view = memoryview(data)

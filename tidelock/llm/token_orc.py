@@ -37,7 +37,7 @@ def encode_partition(batches, path: str, end_id: int | None):
     from pyspark import TaskContext
 
     part, before, enc = TaskContext.get().partitionId(), 0, pieces.encoder(path)
-    for batch in batches:
+    for batch in pieces.released(batches):
         ids_col, texts = batch.column(0), pieces.filled(batch.column(1))
         for a, b in pieces.chunks(texts):
             ids, offsets = enc.encode(texts.slice(a, b - a))
