@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import pieces
+
 #: Labelled rows the model is fitted on, those with the least hash of their doc_id: the documented bound.
 MAX_LABELLED = 4000
 FEATURE_BITS, SMOOTHING, COST, ROUNDS, THRESHOLD = 16, 1.0, 1.0, 30, 0.7
@@ -150,7 +151,7 @@ def score(text: Column, model: Model) -> Column:
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
         out = pd.Series([model.score(features(t)) for t in texts], dtype="float64")
-        pa.default_memory_pool().release_unused()  # workers live as long as their executor
+        pieces.give_back()
         return out
 
     return scores(text.cast("string"))

@@ -11,6 +11,7 @@ Tokenizers of another kind get whole texts.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 
@@ -185,12 +186,20 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndar
     return np.insert(ids, offsets[1:], np.int32(end_id)), offsets + np.arange(len(offsets))
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the C library hold but no longer use: idle workers live as long as their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def released(batches):
-    """The batches, with memory that Arrow holds but no longer uses given back after each: workers live as long as their executor."""
+    """The batches; memory is given back after each."""
     for batch in batches:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def filled(col: pa.ChunkedArray | pa.Array) -> pa.Array:
