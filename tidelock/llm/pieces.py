@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces kept by a worker, and bytes of text that are worked on at once.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 300_000
 CHUNK_BYTES = 4 << 20
 #: New pieces that are encoded in one call.
 MARKED_PIECES = 100
@@ -98,12 +98,15 @@ class PieceEncoder:
         marks = [t for t in spec["added_tokens"] if t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.mark, self.mark_id = (marks[0]["content"], marks[0]["id"]) if marks else (None, None)
+        self.seen = np.zeros(1 << 23, bool)
         self._forget()
 
     def _forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.kept_ids, self.seen = 0, np.zeros(1 << 23, bool)
+        self.kept_ids = 0
+        if 4 * np.count_nonzero(self.seen) > len(self.seen):  # too full to tell new pieces from old
+            self.seen[:] = False
 
     def _slots_of(self, pieces: list[str]) -> np.ndarray:
         """Places of the pieces in starts and lengths. Pieces met for the first time are dropped at the next call."""
