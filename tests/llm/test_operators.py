@@ -1,7 +1,9 @@
 """Each operator against brute force, on edge cases and on whole small tables."""
 
+import json
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
@@ -234,6 +236,16 @@ def test_op8_articles():
     assert wrapper_html.extract("plain &amp text", []) == "plain & text"
 
 
+def test_op8_deep_pages():
+    deep = "<html><body>" + "<div>" * 5000 + "<p>inner</p>" + "<main>" * 2000 + "<span>most" + "</div>" * 5000 + "<p>last"
+    assert wrapper_html.extract(deep, []) == "most"
+    plain = deep.replace("<main>", "<b>")
+    assert wrapper_html.extract(plain, []) == "inner\nmost\nlast"
+    pages = [f"<div>Site</div><div>{i}</div>" + "<div>" * 5000 + f"text {i}" for i in range(5)]
+    wrapper = json.loads(json.dumps(wrapper_html.induce(pages)))
+    assert wrapper_html.extract(pages[2], wrapper) == "2\ntext 2"
+
+
 def test_op8_template_goes_and_slots_stay(spark):
     page = "<html><body><div class=x>Site {h}</div><div class=y>Body of page {i}</div><div class=z>Last words {h}</div></body></html>"
     rows = [(i, f"http://{h}.example/{i}", page.format(h=h, i=i)) for h in ("a", "b") for i in range(20)] + [(50, None, None), (51, "http://a.example/x", ""), (52, "http://c.example", page.format(h="c", i=1))]
@@ -328,6 +340,15 @@ def test_op10_base(edges, empty, spark):
     assert license_fuzzy.digest(empty).count() == 0
 
 
+def test_op10_long_texts_of_many_places():
+    s = license_fuzzy.Scanner()
+    start = time.perf_counter()
+    n_words, n_base, first, last, base, _, score, spans = s.scan("é MIT License, " * 100_000 + "released under the mit licence " * 2_000)
+    assert (n_words, n_base, first, last, base, score) == (310_000, 100_000, 1, 299_998, "mit", 1.0)
+    assert [x[1] for x in spans] == [300_000 + 5 * i for i in range(2_000)] and all(x[2] == x[1] + 5 and x[3] == 1 for x in spans)
+    assert time.perf_counter() - start < 60
+
+
 def test_op10_edits_are_found():
     s = license_fuzzy.Scanner()
     for notice, label in license_fuzzy.NOTICES.items():

@@ -29,6 +29,8 @@ NOTICES = {
 }
 #: One edit for so many characters of a notice.
 CHARS_PER_EDIT = 16
+#: Latest matches of a notice that a new one can overlap: windows lie over 2k apart, so few reach the same place.
+NEAR = 64
 
 _WORD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 OUT = (
@@ -79,14 +81,15 @@ class Scanner:
                     windows[-1][1] = at
                 else:
                     windows.append([found[low][0], at])
-        out, taken = [], []
+        out, taken, at, blanks = [], [], 0, 0  # blanks before a place, counted on from the last one
         for a, b in windows:
             for m in pattern.finditer(text, max(a - k, 0), min(b + length + 2 * k, len(text))):
                 start, end = m.start() + len(m.group()) - len(m.group().lstrip()), m.end()
-                if any(start < y and x < end for x, y in taken):
+                if any(start < y and x < end for x, y in taken[-NEAR:]):
                     continue
                 taken.append((start, end))
-                first = text.count(" ", 0, start + 1) - 1
+                blanks += text.count(" ", at, start + 1) if start >= at else -text.count(" ", start + 1, at)
+                at, first = start + 1, blanks - 1
                 out.append((label, first, first + len(m.group().split()), sum(m.fuzzy_counts), m.group().strip()))
         return out
 
@@ -98,7 +101,7 @@ class Scanner:
             begin = end - size + 1
             for n, what in uses:
                 if n < 0:
-                    places.append(text.count(" ", 0, begin))
+                    places.append(begin)
                     base.add(what)
                 else:
                     near.setdefault(n, []).append((begin - what, what))
@@ -108,7 +111,8 @@ class Scanner:
             lengths[label] = max(lengths.get(label, 0), length)
         score = 1.0 if places else max((1 - e / lengths[s] for s, _, _, e, _ in spans), default=0.0)
         labels = sorted(base | {s[0] for s in spans})
-        return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(labels), score, spans)
+        first, last = (text.count(" ", 0, f(places)) if places else None for f in (min, max))
+        return (len(words), len(places), first, last, ",".join(sorted(base)), ",".join(labels), score, spans)
 
 
 _scanner: Scanner | None = None
