@@ -14,6 +14,7 @@ from .operators import causality, execution, leakage, prepare, quality, regimes,
 from .operators import windows as wn
 from .operators.tables import BARS_SQL, INDEX_SQL, bars, index_bars, ledger, load
 from .plans import folds
+from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -598,6 +599,61 @@ def deflated_sharpe(spark, sf_dir):
     return spark.createDataFrame([(d["dsr"], d["z"], d["hurdle"])], "dsr double, z double, hurdle double")
 
 
+# ---- alignment, ranks and surfaces
+
+GRID_SQL = "g as (select t.ts, s.symbol, b.close from (select distinct ts from b) t cross join (select distinct symbol from b) s left join b on b.ts = t.ts and b.symbol = s.symbol)"
+
+
+@query(f"{B}, {GRID_SQL} select symbol, count(*) as n_cells, count(*) - count(close) as n_missing, round(sum(close), 2) as total from g group by symbol")
+def grid_completion(spark, sf_dir):
+    g = prepare.completed(bars(spark, sf_dir), "close")
+    n = F.count(F.lit(1))
+    return g.groupBy("symbol").agg(n.alias("n_cells"), (n - F.count("close")).alias("n_missing"), F.round(F.sum("close"), 2).alias("total"))
+
+
+@query(f"{WT}, g as (select t.ts, s.symbol, wt.weight from (select distinct ts from wt) t cross join (select distinct symbol from wt) s left join wt on wt.ts = t.ts and wt.symbol = s.symbol) select strftime(ts, '%Y-%m-%d') as day, symbol, coalesce(last_value(weight ignore nulls) {W[:-1]} rows unbounded preceding), 0) as held from g")
+def weights_carried(spark, sf_dir):
+    w = Window.partitionBy("symbol").orderBy("timestamp")
+    g = prepare.completed(weighted(bars(spark, sf_dir)), "weight")
+    return g.select(day(), "symbol", F.coalesce(wn.carried(F.col("weight"), w), F.lit(0.0)).alias("held"))
+
+
+@query(f"""{B}, q as (select ts, symbol, 2.0 + volume % 5 as spread_bps from b where volume % 2 = 0)
+select strftime(b.ts, '%Y-%m-%d') as day, b.symbol, coalesce(last_value(q.spread_bps ignore nulls) over (partition by b.symbol order by b.ts rows unbounded preceding), 0) as spread_bps from b left join q using (ts, symbol)""")
+def quotes_carried(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    quotes = b.where("volume % 2 = 0").select("timestamp", "symbol", (F.lit(2.0) + F.col("volume") % 5).alias("spread_bps"))
+    return execution.quoted_spread(b, quotes, ["symbol"]).select(day(), "symbol", "spread_bps")
+
+
+@query("select l_orderkey, l_linenumber, rank() over (partition by l_orderkey order by l_quantity nulls first) + (count(*) over (partition by l_orderkey, l_quantity) - 1) / 2 as rank from lineitem")
+def rank_average_ties(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", wn.average_rank(F.col("l_quantity"), "l_orderkey").alias("rank"))
+
+
+@query(f"{TRIALS}, v as (select trial from t group by trial having stddev_pop(ret) > 0) select x.trial::integer as a, y.trial::integer as b, round(corr(x.ret, y.ret), 6) as corr from t x join t y on x.ts = y.ts where x.trial in (from v) and y.trial in (from v) group by x.trial, y.trial")
+def trial_correlations(spark, sf_dir):
+    return selection.correlation_pairs(trial_matrix(spark, sf_dir)).select("a", "b", F.round("corr", 6).alias("corr"))
+
+
+@query(f"{TRIALS}, h as (select ts, trial, ret from t where not (trial = 3 and extract(month from ts) = 1)), f as (select ts from h group by ts having count(ret) = 12) select trial::integer as trial, count(*) as n, round(sum(ret), 6) + 0.0 as total from h where ts in (from f) group by trial")
+def trials_complete(spark, sf_dir):
+    holes = trial_matrix(spark, sf_dir).where(~((F.col("trial") == 3) & (F.month("timestamp") == 1)))
+    return selection.finite_matrix(holes).groupBy("trial").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("ret")).alias("total"))
+
+
+@query(f"{GRID}, n as (select g.trial, g.sharpe, max(o.sharpe) as m from g join g o on greatest(abs(g.a - o.a), abs(g.b - o.b)) = 1 group by g.trial, g.sharpe) select trial, round(sharpe, 6) as sharpe from n where sharpe >= m order by n.sharpe desc, trial limit 10")
+def surface_maxima(spark, sf_dir):
+    near = selection.neighbours(_grid(spark, sf_dir), ["a", "b"], "sharpe")
+    return selection.local_maxima(near, "sharpe").select("trial", F.round("sharpe", 6).alias("sharpe"))
+
+
+@query(f"{IDX}, e as (select ts, close / nullif(lag(close) over (order by ts), 0) - 1 as returns from i) select strftime(ts, '%Y-%m-%d') as day, round(returns, 6) + 0.0 as returns from e where returns is not null")
+def returns_from_equity(spark, sf_dir):
+    got = tables.equity_returns(index_bars(spark, sf_dir).withColumnRenamed("close", "equity"))
+    return got.select(day(), r6(F.col("ret")).alias("returns"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
