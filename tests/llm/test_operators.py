@@ -268,6 +268,26 @@ def test_op8_every_page_is_its_article(spark):
         assert found[r.page_id] == "\n".join(b for b in blocks if b)
 
 
+def host_texts(spark, pages):
+    """Texts of pages of one host by the aggregates, held against the wrapper of the pages in memory."""
+    rows = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in wrapper_html.main_texts(rows).collect()}
+    wrapper = json.loads(json.dumps(wrapper_html.induce(pages)))
+    assert [got[i] for i in range(len(pages))] == [wrapper_html.extract(p, wrapper) for p in pages]
+    return [got[i] for i in range(len(pages))]
+
+
+def test_op8_template_of_every_page_and_layout(spark):
+    a, b = "<div class=a><p>Site</p><p>Alpha {i}</p></div>", "<div class=b><p>Minor site</p><p>Beta {i}</p></div>"
+    same, other = "<div><p>Site</p></div><div>One {i}</div>", "<section></section><div><p>Other</p></div><div>Two {i}</div>"
+    assert host_texts(spark, [a.format(i=i) for i in range(3)]) == [f"Alpha {i}" for i in range(3)]  # no page may miss
+    assert host_texts(spark, [a.format(i=i) for i in range(30)] + [b.format(i=i) for i in range(4)])[30:] == [f"Beta {i}" for i in range(4)]
+    got = host_texts(spark, [same.format(i=i) for i in range(12)] + [other.format(i=i) for i in range(8)])  # one path, two layouts
+    assert got == [f"One {i}" for i in range(12)] + [f"Two {i}" for i in range(8)]
+    deep = "<div>" * 300 + "<p>Far down</p><p>Text {i}"
+    assert host_texts(spark, [deep.format(i=i) for i in range(4)]) == [f"Text {i}" for i in range(4)]
+
+
 def brute_fp(text, k=3):
     w = split(ascii_lower(text))
     if not w:
