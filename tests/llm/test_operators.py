@@ -288,6 +288,16 @@ def test_op8_template_of_every_page_and_layout(spark):
     assert host_texts(spark, [deep.format(i=i) for i in range(4)]) == [f"Text {i}" for i in range(4)]
 
 
+def test_op8_template_inside_articles_goes_and_repeated_articles_stay(spark):
+    words = lambda i: " ".join(f"own{i}x{j}" for j in range(12))
+    page = "<nav>{i}</nav><main><article><h1>Title {i}</h1><p>{text}</p><p>Read more of us</p></article></main>"
+    assert host_texts(spark, [page.format(i=i, text=words(i)) for i in range(5)]) == [f"Title {i}\n{words(i)}" for i in range(5)]
+    again = [f"<div>{i}</div><article><p>{words(0)}</p><p>{words(1)}</p></article>" for i in range(9)]
+    assert host_texts(spark, again) == [f"{words(0)}\n{words(1)}"] * 9
+    near = [f"<article><p>{words(0)}</p><p>{words(1)}</p><p>Copy {i}</p></article>" for i in range(9)]
+    assert host_texts(spark, near) == [f"{words(0)}\n{words(1)}\nCopy {i}" for i in range(9)]
+
+
 def brute_fp(text, k=3):
     w = split(ascii_lower(text))
     if not w:
