@@ -148,6 +148,15 @@ def test_op2_lines_of_many_documents_go_and_copies_stay(spark):
     assert cleaned[0] == own(0, 30) and cleaned[200].count("\n") == 9
 
 
+def test_op2_host_of_nothing_but_template(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits are folded in lines
+    text = lambda i: "\n".join([*[f"menu entry {c} of site" for c in "abcdefgh"], " ".join(f"own{i}x{j}" for j in range(6)).translate(letters)])
+    rows = [(i, text(i), "h") for i in range(30)] + [(100 + i, text(0), "copies") for i in range(30)] + [(200 + i, text(i), "few") for i in range(20)]
+    got = {r.doc_id: r for r in line_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert all(got[i].removed_words == 40 and not got[i].kept and not got[i].base_failed for i in range(30))
+    assert all(got[i].removed_words == 0 and got[i].kept for i in [*range(100, 130), *range(200, 220)])
+
+
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))
     w, hit, ids = words(text), set(), set()

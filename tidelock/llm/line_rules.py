@@ -1,9 +1,8 @@
 """Quality rules: measures of a text, and frequency of lines across the documents of a host. DataFrame functions only.
 
-A normalised line (lower case, runs of white space and of digits folded) is counted over the documents of each host;
-lines above the limit are candidates. Copies of one document share all their lines, and that is no reason to reject
-them here: so candidates are counted again over the documents that carry them among mostly other lines, and only lines
-above the limit in that count are removed. A document that keeps too little is depleted and rejected.
+A normalised line (lower case, runs of white space and of digits folded) is counted over all documents of each host,
+and lines above the limit are removed. Copies of one document share all their lines, and that is no reason to reject
+them here: so equal texts of a host count once. A document that keeps too little is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ _REPEATS = f"""
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, host, the measures of every row, and lines: array of (line: hash of the normalised line, w: its words). One pass over the texts."""
+    """doc_id, host, text_hash, the measures of every row, and lines: array of (line: hash of the normalised line, w: its words). One pass over the texts."""
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
         F.expr("coalesce(cast(text as string), '')").alias("_text"),
@@ -47,7 +46,7 @@ def profile(docs: DataFrame) -> DataFrame:
         F.expr(rf"filter(transform(split({folded}, '\n'), x -> btrim(x)), x -> x <> '')").alias("_folded"),
     )
     rows = rows.select(
-        "doc_id", "host", F.col("_n").cast("bigint").alias("n_words"),
+        "doc_id", "host", F.xxhash64("_text").alias("text_hash"), F.col("_n").cast("bigint").alias("n_words"),
         F.expr("char_length(array_join(_w, ''))").cast("bigint").alias("word_chars"),
         F.expr(f"char_length(_text) - char_length(regexp_replace(_text, '[{SYMBOLS}]', ''))").cast("bigint").alias("n_symbols"),
         F.expr("size(_lines) - size(array_distinct(_lines))").cast("bigint").alias("n_dup_lines"),
@@ -59,19 +58,19 @@ def profile(docs: DataFrame) -> DataFrame:
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of every row; a null text has no words."""
-    return profile(docs).drop("host", "lines")
+    return profile(docs).drop("host", "text_hash", "lines")
 
 
 def frequent_lines(profiles: DataFrame, limit: int = LINE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(lines above the limit: host, line, n_docs; places of candidates: doc_id, host, line, w, n_words), both written. profiles: a written profile()."""
-    once = profiles.select("host", F.explode(F.expr("array_distinct(transform(lines, x -> x.line))")).alias("line"))
-    candidates = materialize(once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("host", "line"), "rule-candidates")
-    places = profiles.select("doc_id", "host", "n_words", F.explode("lines").alias("_x")).select("doc_id", "host", "n_words", F.col("_x.line").alias("line"), F.col("_x.w").alias("w"))
-    places = materialize(places.join(small(candidates), ["host", "line"]), "rule-places")
-    carriers = places.groupBy("doc_id", "n_words").agg(F.sum("w").alias("_w")).where(2 * F.col("_w") < F.col("n_words")).select("doc_id")
-    carried = places.select("doc_id", "host", "line").distinct().join(carriers, "doc_id", "left_semi")
-    above = carried.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > limit)
-    return materialize(above, "rule-lines"), places
+    """(lines above the limit: host, line, n_docs; their places: doc_id, line, w), the first written. profiles: a written profile().
+
+    n_docs counts the different texts of a host that hold the line.
+    """
+    texts = profiles.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
+    once = texts.select("host", F.explode(F.expr("array_distinct(transform(lines, x -> x.line))")).alias("line"))
+    above = materialize(once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > limit), "rule-lines")
+    places = profiles.select("doc_id", "host", F.explode("lines").alias("_x")).select("doc_id", "host", F.col("_x.line").alias("line"), F.col("_x.w").alias("w"))
+    return above, places.join(small(above.select("host", "line")), ["host", "line"]).select("doc_id", "line", "w")
 
 
 def judge(docs: DataFrame, limit: int = LINE_LIMIT, depleted_percent: int = DEPLETED_PERCENT) -> DataFrame:
@@ -82,10 +81,10 @@ def judge(docs: DataFrame, limit: int = LINE_LIMIT, depleted_percent: int = DEPL
     texts fail the base rules.
     """
     profiles = materialize(profile(docs), "rule-profiles")
-    above, places = frequent_lines(profiles, limit)
-    removed = places.join(small(above.select("host", "line")), ["host", "line"]).where("doc_id is not null").groupBy("doc_id").agg(F.sum("w").alias("_removed"))
+    _, places = frequent_lines(profiles, limit)
+    removed = places.where("doc_id is not null").groupBy("doc_id").agg(F.sum("w").alias("_removed"))
     removed = small(materialize(removed.withColumnRenamed("doc_id", "_id"), "rule-removed"))
-    rows = profiles.drop("host", "lines")
+    rows = profiles.drop("host", "text_hash", "lines")
     rows = rows.join(removed, rows["doc_id"] == F.col("_id"), "left").withColumn("removed_words", F.coalesce("_removed", F.lit(0)).cast("bigint")).drop("_id", "_removed")
     depleted = 100 * F.col("removed_words") > depleted_percent * F.col("n_words")
     return rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
