@@ -105,6 +105,60 @@ def test_audits_end_to_end(spark, market, tmp_path):
     assert again.status == bad.status and reports.to_json(again) == reports.to_json(bad)
 
 
+def quick(**parts):
+    return config.from_dict({"profile": "quick", "causality": {"cutoffs": 2}, "statistics": {"replicates": 30}, "regimes": {"volatility_rows": 20}, "validation": {"blocks": 4}} | parts)
+
+
+def severities(found):
+    return {f.rule: f.severity for f in found}
+
+
+def test_causality_findings(market):
+    judge = lambda s: severities(engine.judge_causality(s, market, quick())[0])
+
+    def drawn(b):
+        return b.df.select(*b.keys, "timestamp", F.rand().alias("weight"))
+
+    def failing(b):
+        return trailing(b).withColumn("weight", F.when(F.col("trial") == 3, F.raise_error(F.lit("odd"))).otherwise(F.col("weight"))) if "trial" in b.keys else trailing(b)
+
+    def deaf(b):
+        return b.df.select(*b.keys, "timestamp", F.lit(1.0).alias("weight"))
+
+    ok = judge(trailing)
+    assert ok == dict.fromkeys(("CAUSAL-001", "CAUSAL-002", "CAUSAL-003", "CAUSAL-004"), Severity.PASS)
+    assert judge(drawn) == {"CAUSAL-002": Severity.WARN}
+    assert judge(failing) == ok | {"CAUSAL-003": Severity.INFO}
+    assert judge(deaf) == ok | {"CAUSAL-004": Severity.INFO}
+
+
+def test_raw_times_are_judged(spark):
+    raw = spark.createDataFrame([("2024-01-02 00:00:00", 1.5), ("2024-01-01T00:00:00+02:00", 1.0), ("2024-01-03T00:00:00+01:00", 2.0), ("bad", 3.0)], "date string, close double").coalesce(1)
+    bars, log = tables.load_prices(spark, raw)
+    got = severities(engine.validate_data(bars, quick(), log, tables.raw_times(spark, raw)))
+    assert {r: got[r] for r in ("DATA-001", "DATA-002", "DATA-010")} == dict.fromkeys(("DATA-001", "DATA-002", "DATA-010"), Severity.WARN)
+
+
+def test_target_and_ranks(spark):
+    days = pd.bdate_range("2020-01-01", periods=80)
+    noise = [((7 * i * i + 3 * i) % 31 - 15) / 1000 for i in range(80)]
+    frame = lambda d: spark.createDataFrame(pd.DataFrame({"timestamp": days} | d)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    trials = [(d, k, x + (k - 1) * (0.01 if i < 40 else -0.01)) for k in range(3) for i, (d, x) in enumerate(zip(days.to_pydatetime(), noise, strict=True))]
+    art = tables.Artifacts(returns=frame({"ret": noise}), features=frame({"a": noise, "b": [i % 7 / 1.0 for i in range(80)]}), target=frame({"y": [2 * x for x in noise]}), trial_returns=spark.createDataFrame(trials, "timestamp timestamp_ntz, trial int, ret double"))
+    found = engine.audit(spark, artifacts=art, config=quick())
+    got = severities(found.findings)
+    assert got["LEAK-001"] == Severity.FAIL and got["LEAK-002"] == Severity.PASS and got["SENS-002"] == Severity.WARN
+
+
+def test_delay_and_every_rule_has_its_place(spark, market):
+    import inspect
+
+    result = engine.audit(spark, engine.Strategy(trailing), market, quick())
+    assert "EXEC-006" in severities(result.findings) and set(result.sections["regimes"]) == {"volatility", "drawdown", "trend"}
+    source = inspect.getsource(engine) + inspect.getsource(code)
+    assert [r for r in RULES if f'"{r}"' not in source] == []
+
+
 def test_results_mode(spark, tmp_path):
     rows = pd.DataFrame({"date": pd.bdate_range("2020-01-01", periods=120).astype(str), "equity": [100 * 1.001**i * (1 + 0.01 * (i % 3)) for i in range(120)]})
     ledger = pd.DataFrame({"signal_ts": pd.to_datetime(["2020-01-02", "2020-01-03"]), "exec_time": pd.to_datetime(["2020-01-01", "2020-01-04"])})

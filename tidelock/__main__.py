@@ -51,10 +51,10 @@ def main(argv: list[str] | None = None) -> int:
             return _finish(engine.audit(spark, args.strategy, args.data, cfg, art), args)
         if args.command == "validate":
             from .audit import engine
-            from .sources.tables import load_prices
+            from .sources.tables import load_prices, raw_times
 
             bars, log = load_prices(_session(), args.data)
-            return _finish(findings.Result(engine.validate_data(bars, cfg, log)), args)
+            return _finish(findings.Result(engine.validate_data(bars, cfg, log, raw_times(_session(), args.data))), args)
         if args.command == "scan":
             return _finish(findings.Result(code.scan(args.path)), args)
         if args.command == "report":

@@ -19,7 +19,7 @@ from ..functions import moments
 from ..operators import causality, execution, leakage, quality, regimes, resample, selection
 from ..operators import windows as wn
 from ..plans import folds
-from ..sources.tables import Artifacts, load_prices
+from ..sources.tables import Artifacts, load_prices, raw_times
 from . import code
 from .config import Config
 from .findings import Finding, Result, Severity, canonical_hash
@@ -69,11 +69,19 @@ def load_strategy(source: str | Callable | Strategy) -> Strategy:
     return Strategy(module.generate_signals, dict(getattr(module, "PARAMS", {})), dict(getattr(module, "GRID", {})), declared, path.read_text(), str(path))
 
 
-def validate_data(bars: DataFrame, cfg: Config, log: list[str] | None = None) -> list[Finding]:
-    """All data rules over prepared or raw bars (timestamp, symbol, OHLC): one finding per rule, the worst symbols named."""
+def validate_data(bars: DataFrame, cfg: Config, log: list[str] | None = None, times: dict | None = None) -> list[Finding]:
+    """All data rules over prepared or raw bars (timestamp, symbol, OHLC): one finding per rule, the worst symbols named.
+
+    times: raw_times of the source; without it the rules on raw timestamps (001, 002, 010) are not judged.
+    """
     d, out = cfg.data, []
+    if times is not None:
+        out.append(Finding("DATA-001", S.WARN if times["n_bad"] else S.PASS, f"{times['n_bad']} timestamps do not parse"))
+        out.append(Finding("DATA-002", S.WARN if times["n_backward"] else S.PASS, f"{times['n_backward']} steps back in time"))
+        mixed = times["n_aware"] and times["n_naive"]
+        out.append(Finding("DATA-010", S.WARN if mixed else S.INFO if len(times["offsets"]) > 1 else S.PASS, f"{times['n_aware']} timestamps with a time zone, {times['n_naive']} without", {"offsets": times["offsets"]}))
     if bars.isEmpty():
-        return [Finding("DATA-014", S.FAIL, "there are no rows")]
+        return [f for f in [*out, Finding("DATA-014", S.FAIL, "there are no rows")] if f.rule not in d.disabled]
     missing = [c for c in quality.PRICES if c not in bars.columns]
     out.append(Finding("DATA-003", (S.FAIL if d.require_ohlc else S.INFO) if missing else S.PASS, f"missing {missing}" if missing else "OHLC is complete"))
     close = "close" if "close" in bars.columns else next(c for c in ("adj_close", "price") if c in bars.columns)
@@ -133,6 +141,27 @@ def judge_statistics(returns: DataFrame, cfg: Config, n_trials: int, declared: b
     return out, {"moments": m, "interval": ci, "psr": p, "dsr": d}
 
 
+def judge_causality(s: causality.Strategy, bars: DataFrame, cfg: Config) -> tuple[list[Finding], list]:
+    """Two baselines, the perturbed futures, and a control run; weights that differ between the baselines leave the rest open."""
+    c = cfg.causality
+    unstable = causality.n_unstable(s, bars)
+    if unstable:
+        return [Finding("CAUSAL-002", S.WARN, f"{unstable} weights differ between two runs on the same bars; perturbed futures say nothing")], []
+    moved, errors = causality.run_all(s, bars, c.first, c.cutoffs, tuple(c.schemes), c.magnitude, cfg.seed)
+    bad, out = [r for r in moved if r["n_changed"]], [Finding("CAUSAL-002", S.PASS, "two runs on the same bars agree")]
+    if moved:
+        out.append(Finding("CAUSAL-001", S.FAIL if bad else S.PASS, f"{len(bad)} of {len(moved)} perturbed futures moved earlier weights", {"schemes": sorted({r["scheme"] for r in bad}), "first": str(min((r["first_changed"] for r in bad), default=None))}))
+    else:
+        out.append(Finding("CAUSAL-001", S.INFO, "no perturbed future could be run"))
+    out.append(Finding("CAUSAL-003", S.INFO if errors else S.PASS, f"{len(errors)} perturbed futures made the strategy fail", {"errors": errors[:5]}))
+    control = causality.control_changes(s, bars, c.magnitude, cfg.seed)
+    if control is None:
+        out.append(Finding("CAUSAL-004", S.INFO, "the strategy fails on the control run"))
+    else:
+        out.append(Finding("CAUSAL-004", S.PASS if control else S.INFO, f"{control} weights move with all of the data"))
+    return out, moved
+
+
 def judge_selection(trials: DataFrame, cfg: Config) -> tuple[list[Finding], dict]:
     v, out = cfg.validation, []
     whole = selection.finite_matrix(trials)
@@ -147,6 +176,11 @@ def judge_selection(trials: DataFrame, cfg: Config) -> tuple[list[Finding], dict
     splits = folds.combinatorial(trials.sparkSession, folds.intervals(trials.sparkSession, rows), rows, 6, 2)
     cp = [r["test_sharpe"] for r in selection.combinatorial_selection(whole, splits).collect() if r["test_sharpe"] is not None]
     out.append(Finding("VAL-003", S.WARN if not cp or np.median(cp) <= 0 else S.PASS, f"median split Sharpe {np.median(cp) if cp else float('nan'):.3f}", {"splits": len(cp)}))
+    cut = whole.select("timestamp").distinct().orderBy("timestamp").limit(rows // 2).agg(F.max("timestamp")).first()[0]
+    early, late = F.when(F.col("timestamp") <= F.lit(cut), F.col("ret")), F.when(F.col("timestamp") > F.lit(cut), F.col("ret"))
+    halves = whole.groupBy("trial").agg(F.try_divide(F.avg(early), F.stddev_samp(early)).alias("early"), F.try_divide(F.avg(late), F.stddev_samp(late)).alias("late"))
+    rho = selection.spearman(halves, "early", "late").first()["spearman"]
+    out.append(Finding("SENS-002", S.INFO if rho is None else S.WARN if rho < 0 else S.PASS, "too few trials to rank" if rho is None else f"rank correlation {rho:.2f} between the trials of both halves", {"spearman": rho}))
     wide = whole.groupBy("timestamp").pivot("trial").agg(F.first("ret")).orderBy("timestamp").drop("timestamp").collect()
     rc = resample.reality_check(trials.sparkSession, np.array([list(r) for r in wide], float), max(200, cfg.statistics.replicates // 2), seed=cfg.seed)
     out.append(Finding("VAL-004", S.WARN if rc["spa_p"] > 1 - cfg.statistics.confidence else S.PASS, f"SPA p-value {rc['spa_p']:.3f}", rc))
@@ -156,9 +190,11 @@ def judge_selection(trials: DataFrame, cfg: Config) -> tuple[list[Finding], dict
 def judge_regimes(returns: DataFrame, reference: DataFrame, cfg: Config) -> tuple[list[Finding], dict]:
     labelled = regimes.volatility_regimes(reference, "ret", cfg.regimes.volatility_rows, periods=cfg.statistics.periods).select("timestamp", "regime")
     rows = [r.asDict() for r in regimes.performance(returns.join(labelled, "timestamp", "left"), "ret", cfg.statistics.periods, cfg.regimes.least).orderBy("first").collect()]
+    others = {"drawdown": regimes.drawdown_regimes(reference, "ret"), "trend": regimes.trend_regimes(reference, "ret", cfg.regimes.trend_rows)}
+    sections = {"volatility": rows} | {n: [r.asDict() for r in regimes.performance(returns.join(x.select("timestamp", "regime"), "timestamp", "left"), "ret", cfg.statistics.periods, cfg.regimes.least).orderBy("first").collect()] for n, x in others.items()}
     bad = [r["regime"] for r in rows if r["sharpe"] is not None and r["sharpe"] < 0]
     overall = sum(r["mean"] * r["time_share"] for r in rows)
-    return [Finding("REG-001", S.WARN if bad and overall > 0 else S.PASS, f"losses in {bad}" if bad else "no regime with losses", {"regimes": rows})], {"volatility": rows}
+    return [Finding("REG-001", S.WARN if bad and overall > 0 else S.PASS, f"losses in {bad}" if bad else "no regime with losses", {"regimes": rows})], sections
 
 
 def audit(spark: SparkSession, strategy=None, data=None, config: Config | None = None, artifacts: Artifacts | None = None) -> Result:
@@ -183,13 +219,12 @@ def _audit_strategy(spark: SparkSession, s: Strategy, data, cfg: Config) -> Resu
     if data is None:
         return Result(out, {}, _manifest(cfg, strategy=s.source))
     bars, log = load_prices(spark, data)
-    out += validate_data(bars, cfg, log)
+    out += validate_data(bars, cfg, log, raw_times(spark, data))
     bars = bars.cache()
     signals = s(causality.Bars(bars))
     out += code.inspect_plan(signals)
-    moved = causality.run(s, bars, cfg.causality.first, cfg.causality.cutoffs, tuple(cfg.causality.schemes), cfg.causality.magnitude, cfg.seed).collect()  # a row per trial
-    bad = [r for r in moved if r["n_changed"]]
-    out.append(Finding("CAUSAL-001", S.FAIL if bad else S.PASS, f"{len(bad)} of {len(moved)} perturbed futures moved earlier weights", {"schemes": sorted({r["scheme"] for r in bad}), "first": str(min((r["first_changed"] for r in bad), default=None))}))
+    found, moved = judge_causality(s, bars, cfg)
+    out += found
     weighted = bars.join(signals.select("symbol", "timestamp", "weight"), ["symbol", "timestamp"], "left")
     w = Window.partitionBy("symbol").orderBy("timestamp")
     hits = leakage.foresight(weighted.withColumn("ret", wn.pct_change(F.col("close"), w)), ["symbol"]).first()
@@ -212,6 +247,9 @@ def _audit_strategy(spark: SparkSession, s: Strategy, data, cfg: Config) -> Resu
     naive, real = scen["naive"]["sharpe"], scen["declared"]["sharpe"]
     lost = naive is not None and real is not None and naive >= 0.5 and real < 0.25 * naive
     out.append(Finding("EXEC-001", S.WARN if lost else S.PASS, f"Sharpe {naive if naive is not None else float('nan'):.2f} without costs or lag, {real if real is not None else float('nan'):.2f} as declared"))
+    late = scen["lag_5"]["sharpe"]
+    faded = real is not None and late is not None and real >= 0.5 and late < 0.25 * real
+    out.append(Finding("EXEC-006", S.WARN if faded else S.PASS, f"Sharpe {late if late is not None else float('nan'):.2f} with 5 bars of delay"))
     net = port.select("timestamp", F.col("net").alias("ret"))
     sets, trials = s.grid(cfg.validation.most_trials, cfg.seed), None
     for k, params in enumerate(sets):
@@ -249,10 +287,22 @@ def _audit_results(spark: SparkSession, a: Artifacts, cfg: Config) -> Result:
         t = execution.timing(a.trades).first().asDict()
         n = t["n_trades"] or 1
         out.append(Finding("EXEC-005", S.FAIL if t["n_before_signal"] else S.WARN if t["n_instant"] > n / 2 else S.PASS, f"{t['n_before_signal']} of {t['n_trades']} trades before their signal", t))
-    if a.features is not None and returns is not None:
-        names = [c for c, k in a.features.dtypes if k in ("double", "float", "int", "bigint")]
-        leaks = leakage.leaking(leakage.feature_correlations(a.features.join(returns, "timestamp"), names, "ret")).collect()
-        out.append(Finding("LEAK-002", S.FAIL if leaks else S.PASS, f"{[r['feature'] for r in leaks]} equal later returns" if leaks else "no feature equals later returns"))
+    if a.features is not None and (returns is not None or a.target is not None):
+        numeric = ("double", "float", "int", "bigint")
+        names, table, target = [c for c, k in a.features.dtypes if k in numeric], a.features, None
+        table = table.join(returns.select("timestamp", F.col("ret").alias("_ret")), "timestamp", "left") if returns is not None else table.withColumn("_ret", F.lit(None).cast("double"))
+        if a.target is not None:
+            values = [c for c, k in a.target.dtypes if k in numeric]
+            if len(values) != 1:
+                raise DataError(f"the target needs one numeric column, not {values}")
+            table, target = table.join(a.target.select("timestamp", F.col(values[0]).cast("double").alias("_target")), "timestamp", "left"), "_target"
+        corrs = leakage.feature_correlations(table, names, "_ret", target)
+        if target:
+            copies = leakage.leaking(corrs.where("lead = 0")).collect()
+            out.append(Finding("LEAK-001", S.FAIL if copies else S.PASS, f"{[r['feature'] for r in copies]} equal the target" if copies else "no feature equals the target"))
+        leaks = leakage.leaking(corrs.where("lead > 0")).collect() if returns is not None else None
+        if leaks is not None:
+            out.append(Finding("LEAK-002", S.FAIL if leaks else S.PASS, f"{[r['feature'] for r in leaks]} equal later returns" if leaks else "no feature equals later returns"))
     if returns is not None:
         n_trials = a.trial_returns.select("trial").distinct().count() if a.trial_returns is not None else cfg.statistics.trials or 1
         found, sections["statistics"] = judge_statistics(returns, cfg, n_trials, a.trial_returns is not None or cfg.statistics.trials is not None)

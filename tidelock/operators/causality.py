@@ -101,10 +101,55 @@ def differences(base: DataFrame, new: DataFrame, rtol: float = 1e-9, atol: float
 
 def run(strategy: Strategy, bars: DataFrame, first: float = 0.5, k: int = 8, schemes: tuple[str, ...] = SCHEMES, magnitude: float = 0.5, seed: int = 42) -> DataFrame:
     """Per trial: scheme, n_changed, first_changed, largest. bars: timestamp, symbol, OHLCV."""
-    spark = bars.sparkSession
-    times = [r[0] for r in bars.select("timestamp").distinct().orderBy("timestamp").collect()]  # a calendar of bars
-    table = [(i, c, s) for i, (c, s) in enumerate((c, s) for c in cutoffs(times, first, k) for s in schemes)]
-    trials = spark.createDataFrame(table, "trial int, cutoff timestamp_ntz, scheme string")
+    return _run(strategy, bars, _table(bars, first, k, schemes), magnitude, seed)
+
+
+def _times(bars: DataFrame) -> list:
+    return [r[0] for r in bars.select("timestamp").distinct().orderBy("timestamp").collect()]  # a calendar of bars
+
+
+def _table(bars: DataFrame, first: float, k: int, schemes: tuple[str, ...]) -> list[tuple]:
+    return [(i, c, s) for i, (c, s) in enumerate((c, s) for c in cutoffs(_times(bars), first, k) for s in schemes)]
+
+
+def _run(strategy: Strategy, bars: DataFrame, table: list[tuple], magnitude: float, seed: int, until=None) -> DataFrame:
+    """Differences of the trials in table; until: compare up to this time in place of each cutoff."""
+    trials = bars.sparkSession.createDataFrame(table, "trial int, cutoff timestamp_ntz, scheme string")
     moved = perturb(bars, trials, magnitude, seed)
-    new = strategy(Bars(moved, ("trial", "symbol"))).join(F.broadcast(trials), "trial")
+    judged = trials if until is None else trials.withColumn("cutoff", F.lit(until).cast("timestamp_ntz"))
+    new = strategy(Bars(moved, ("trial", "symbol"))).join(F.broadcast(judged), "trial")
     return differences(strategy(Bars(bars)), new)
+
+
+def run_all(strategy: Strategy, bars: DataFrame, first: float = 0.5, k: int = 8, schemes: tuple[str, ...] = SCHEMES, magnitude: float = 0.5, seed: int = 42) -> tuple[list, list[dict]]:
+    """Rows of run and errors. Trials run in one plan; where that fails, each runs by itself, and those that fail are errors."""
+    table = _table(bars, first, k, schemes)
+    try:
+        return _run(strategy, bars, table, magnitude, seed).collect(), []  # a row per trial
+    except Exception:
+        rows, errors = [], []
+        for trial in table:
+            try:
+                rows += _run(strategy, bars, [trial], magnitude, seed).collect()
+            except Exception as e:
+                errors.append({"trial": trial[0], "scheme": trial[2], "error": f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"})
+        return rows, errors
+
+
+def n_unstable(strategy: Strategy, bars: DataFrame, rtol: float = 1e-9, atol: float = 1e-12) -> int:
+    """Weights that differ between two baseline runs. The first is written out, so that one run cannot serve as both."""
+    a = strategy(Bars(bars)).select("timestamp", "symbol", F.col("weight").alias("_a")).localCheckpoint()
+    b = strategy(Bars(bars)).select("timestamp", "symbol", F.col("weight").alias("_b"))
+    x, y = F.col("_a"), F.col("_b")
+    same = x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= atol + rtol * F.abs(y), F.lit(False))
+    return a.join(b, ["timestamp", "symbol"], "full").agg(F.count_if(~same)).first()[0]
+
+
+def control_changes(strategy: Strategy, bars: DataFrame, magnitude: float = 0.5, seed: int = 42) -> int | None:
+    """Weights that move when everything after the first time is perturbed; none: the trials say nothing. Null where the strategy fails."""
+    times = _times(bars)
+    try:
+        got = _run(strategy, bars, [(0, times[0], "extreme")], magnitude, seed + 1, times[-1]).first()
+        return got["n_changed"] if got else 0
+    except Exception:
+        return None

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DataError
 from ..operators import prepare as pr
+from ..operators import quality
 
 
 def load(spark: SparkSession, source: str | pd.DataFrame | DataFrame) -> DataFrame:
@@ -48,6 +49,17 @@ def load_prices(spark: SparkSession, source, timestamp_column: str | None = None
     return rows.drop("_seq"), log
 
 
+def raw_times(spark: SparkSession, source, timestamp_column: str | None = None, symbol_column: str | None = None) -> dict:
+    """Counts of raw timestamps, which prepared bars no longer tell: n_bad, n_aware, n_naive, offsets, n_backward (steps back in input order, by symbol)."""
+    df = load(spark, source).withColumn("_seq", F.monotonically_increasing_id())
+    symbol = pr.symbol_column(df, symbol_column)
+    df = pr.parse_time(df, pr.time_column(df, timestamp_column)).withColumn("_key", F.col(symbol).cast("string") if symbol else F.lit("_"))
+    good = ~F.col("_bad") & F.col("_ts").isNotNull()
+    counts = df.agg(F.count_if(~good).alias("n_bad"), F.count_if(good & F.col("_aware")).alias("n_aware"), F.count_if(good & ~F.col("_aware")).alias("n_naive"), F.sort_array(F.collect_set("_offset")).alias("offsets")).first()
+    back = quality.out_of_order(df, "_ts", "_seq", ["_key"]).agg(F.coalesce(F.sum("n_backward"), F.lit(0))).first()[0]
+    return counts.asDict() | {"n_backward": back}
+
+
 def load_returns(spark: SparkSession, source, column: str | None = None) -> DataFrame:
     df = load(spark, source)
     ret = pr.returns_column(pr.coerce_numbers(df), column)
