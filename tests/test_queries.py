@@ -16,6 +16,11 @@ def duck(sf_dir):
     return c
 
 
+def test_every_default_cutoff_is_perturbed(spark, sf_dir):
+    rows = catalog.queries()["perturb_extreme_diff"](spark, sf_dir).groupBy("strategy").count().collect()
+    assert {r["strategy"]: r["count"] for r in rows} == {"trailing_mean": 40, "next_close": 40}  # 8 cutoffs, 5 schemes
+
+
 @pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query(spark, sf_dir, duck, name):
     got = catalog.queries()[name](spark, sf_dir).toPandas()

@@ -560,7 +560,7 @@ def next_close(b: causality.Bars) -> DataFrame:
 def perturb_extreme_diff(spark, sf_dir):
     """A causal and a non-causal strategy under perturbed futures."""
     b = bars(spark, sf_dir)
-    parts = [causality.run(s, b, k=2).select(F.lit(n).alias("strategy"), "trial", "scheme", "n_changed") for n, s in (("trailing_mean", trailing_mean), ("next_close", next_close))]
+    parts = [causality.run(s, b).select(F.lit(n).alias("strategy"), "trial", "scheme", "n_changed") for n, s in (("trailing_mean", trailing_mean), ("next_close", next_close))]
     return parts[0].unionByName(parts[1])
 
 
