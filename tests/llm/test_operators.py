@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelock.llm import bin_slack, length_histogram, license_fuzzy, line_rules, minimax_shards, nbsvm, ngram_decontam, pieces, simhash_ring, token_orc, wrapper_html
+from tidelock.llm import bin_slack, common, length_histogram, license_fuzzy, line_rules, minimax_shards, nbsvm, ngram_decontam, pieces, simhash_ring, token_orc, wrapper_html
+from tidelock.llm.common import materialize
 
 WORD, BYTE = pieces.tokenizer_path("word_bpe_49k.json"), pieces.tokenizer_path("byte_bpe_50k.json")
 
@@ -141,9 +142,7 @@ def test_op2_lines_of_many_documents_go_and_copies_stay(spark):
     assert all(got[i].kept and got[i].removed_words == 5 for i in range(40))
     assert all(got[100 + i].removed_words == 40 and not got[100 + i].kept for i in range(5))
     assert all(got[200 + i].kept and got[200 + i].removed_words == 0 for i in range(60))
-    from tidelock.llm.common import materialize
-
-    above, _ = line_rules.frequent_lines(materialize(line_rules.profile(docs), "t"))
+    above = line_rules.frequent_lines(materialize(line_rules.profile(docs), "t"))
     cleaned = {r.doc_id: r.text for r in line_rules.without_lines(docs, above).collect()}
     assert cleaned[0] == own(0, 30) and cleaned[200].count("\n") == 9
 
@@ -157,6 +156,27 @@ def test_op2_host_of_nothing_but_template(spark):
     assert all(got[i].removed_words == 0 and got[i].kept for i in [*range(100, 130), *range(200, 220)])
 
 
+def test_op2_repeated_rows_keep_their_verdict(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    text = lambda i: "shared line of many words in this host today yes\n" + " ".join(f"own{i}x{j}" for j in range(16)).translate(letters)
+    rows = [(i, text(i), "h") for i in range(30)] + [(3, text(3), "h")] * 2 + [(None, text(4), "h")] * 2 + [(3, "other text of the same id " * 5, "h")]
+    got = line_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    same = [(r.n_words, r.removed_words, r.kept) for r in got if r.n_words == 26]
+    assert len(got) == 35 and len(same) == 34 and set(same) == {(26, 10, True)}
+
+
+def test_op2_limits_follow_the_host(spark, monkeypatch):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    text = lambda i: ("rare line of some documents here\n" if i < 60 else "") + " ".join(f"own{i}x{j}" for j in range(25)).translate(letters)
+    docs = spark.createDataFrame([(i, text(i), "h") for i in range(300)], "doc_id bigint, text string, source string")
+    removed = lambda **k: sum(r.removed_words > 0 for r in line_rules.judge(docs, **k).collect())
+    assert removed() == 60 and removed(limit=60) == 0 and removed(share=199) == 60 and removed(share=200) == 0
+    monkeypatch.setattr(common, "is_small", lambda *_: False)
+    monkeypatch.setattr(line_rules, "is_small", lambda *_: False)
+    monkeypatch.setattr(common, "HEAVY_KEYS", 1)
+    assert removed() == 60
+
+
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))
     w, hit, ids = words(text), set(), set()

@@ -1,8 +1,9 @@
 """Quality rules: measures of a text, and frequency of lines across the documents of a host. DataFrame functions only.
 
 A normalised line (lower case, runs of white space and of digits folded) is counted over all documents of each host,
-and lines above the limit are removed. Copies of one document share all their lines, and that is no reason to reject
-them here: so equal texts of a host count once. A document that keeps too little is depleted and rejected.
+and lines above the limits are removed: more than LINE_LIMIT documents, and more than LINE_SHARE of those the host has,
+so that a host's lines are judged alike at any size. Copies of one document share all their lines, and that is no reason
+to reject them here: so equal texts of a host count once. A document that keeps too little is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, gram_hashes, materialize, small, words_of
+from .common import LOWER, UPPER, gram_hashes, is_small, join_unique, materialize, words_of
 
-#: A line in more documents of a host than this is above the limit.
-LINE_LIMIT = 20
+#: A line in more documents of a host than this, and in more than this many of a thousand of them, is above the limits.
+LINE_LIMIT, LINE_SHARE = 20, 5
 #: A document is depleted if removed lines hold more than this percentage of its words.
 DEPLETED_PERCENT = 70
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
@@ -61,44 +62,47 @@ def measures(docs: DataFrame) -> DataFrame:
     return profile(docs).drop("host", "text_hash", "lines")
 
 
-def frequent_lines(profiles: DataFrame, limit: int = LINE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(lines above the limit: host, line, n_docs; their places: doc_id, line, w), the first written. profiles: a written profile().
+def frequent_lines(profiles: DataFrame, limit: int = LINE_LIMIT, share: int = LINE_SHARE) -> DataFrame:
+    """The lines above the limits, written: host, line, n_docs. profiles: a written profile().
 
-    n_docs counts the different texts of a host that hold the line.
+    n_docs counts the different texts of a host that hold the line, and so does the number of documents of the host.
     """
     texts = profiles.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
     once = texts.select("host", F.explode(F.expr("array_distinct(transform(lines, x -> x.line))")).alias("line"))
-    above = materialize(once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > limit), "rule-lines")
-    places = profiles.select("doc_id", "host", F.explode("lines").alias("_x")).select("doc_id", "host", F.col("_x.line").alias("line"), F.col("_x.w").alias("w"))
-    return above, places.join(small(above.select("host", "line")), ["host", "line"]).select("doc_id", "line", "w")
+    often = materialize(once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > limit), "rule-lines")
+    hosts = often.select("host").distinct()
+    hosts = F.broadcast(hosts) if is_small(hosts) else hosts
+    totals = materialize(profiles.join(hosts, "host", "left_semi").select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_texts")), "rule-hosts")
+    weighed = often.join(F.broadcast(totals) if is_small(totals) else totals, "host")
+    return materialize(weighed.where(1000 * F.col("n_docs") > share * F.col("_texts")).select("host", "line", "n_docs"), "rule-above")
 
 
-def judge(docs: DataFrame, limit: int = LINE_LIMIT, depleted_percent: int = DEPLETED_PERCENT) -> DataFrame:
+def judge(docs: DataFrame, limit: int = LINE_LIMIT, depleted_percent: int = DEPLETED_PERCENT, share: int = LINE_SHARE) -> DataFrame:
     """Measures of every row with removed_words and kept.
 
-    Hosts are values of `source` (null: one host of its own). Rows that share a doc_id are one document for removed
-    words; rows with a null doc_id are judged by their measures alone. An empty table gives no rows; empty and null
-    texts fail the base rules.
+    Hosts are values of `source` (null: one host of its own). Each row is judged by its own text, also where rows share
+    a doc_id or have none. An empty table gives no rows; empty and null texts fail the base rules.
     """
-    profiles = materialize(profile(docs), "rule-profiles")
-    _, places = frequent_lines(profiles, limit)
-    removed = places.where("doc_id is not null").groupBy("doc_id").agg(F.sum("w").alias("_removed"))
-    removed = small(materialize(removed.withColumnRenamed("doc_id", "_id"), "rule-removed"))
-    rows = profiles.drop("host", "text_hash", "lines")
-    rows = rows.join(removed, rows["doc_id"] == F.col("_id"), "left").withColumn("removed_words", F.coalesce("_removed", F.lit(0)).cast("bigint")).drop("_id", "_removed")
+    profiles = materialize(profile(docs).withColumn("_row", F.monotonically_increasing_id()), "rule-profiles")
+    above = frequent_lines(profiles, limit, share)
+    places = profiles.select("_row", "host", F.explode("lines").alias("_x")).select("_row", "host", F.col("_x.line").alias("line"), F.col("_x.w").alias("w"))
+    removed = join_unique(places, above, ["host", "line"], "n_docs").groupBy("_row").agg(F.sum("w").alias("_removed"))
+    removed = materialize(removed, "rule-removed")
+    rows = profiles.drop("host", "text_hash", "lines").join(F.broadcast(removed) if is_small(removed) else removed, "_row", "left")
+    rows = rows.withColumn("removed_words", F.coalesce("_removed", F.lit(0)).cast("bigint")).drop("_row", "_removed")
     depleted = 100 * F.col("removed_words") > depleted_percent * F.col("n_words")
     return rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def without_lines(docs: DataFrame, above: DataFrame) -> DataFrame:
-    """doc_id and text of docs, without the lines above the limit."""
+    """doc_id and text of every row of docs, without the lines above the limits (a written frequent_lines()). A null text has no lines."""
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
     fold = rf"btrim(regexp_replace(regexp_replace(translate(x, '{UPPER}\t\u000b\u000c\r', '{LOWER}    '), '[0-9]+', '0'), ' {{2,}}', ' '))"
-    lines = docs.select("doc_id", host, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "x")).withColumn("line", F.expr(f"xxhash64({fold})"))
-    left = lines.join(small(above.select("host", "line")), ["host", "line"], "left_anti")
-    return left.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("_l")).select("doc_id", F.expr(r"array_join(transform(_l, y -> y.x), '\n')").alias("text"))
-
-
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", host, F.split(F.coalesce("text", F.lit("")), "\n").alias("_l")), "rule-texts")
+    lines = rows.select("_row", "host", F.posexplode("_l").alias("_at", "x")).select("_row", "host", "_at", F.expr(f"xxhash64({fold})").alias("line"))
+    gone = join_unique(lines, above, ["host", "line"], "n_docs").groupBy("_row").agg(F.collect_set("_at").alias("_gone"))
+    left = rows.join(gone, "_row", "left").select("doc_id", F.expr("filter(_l, (x, i) -> _gone is null or not array_contains(_gone, i))").alias("_l"))
+    return left.select("doc_id", F.array_join("_l", "\n").alias("text"))
 
 
 # The same in DuckDB: windows and lines as rows, whole lines in place of hashes.
@@ -114,12 +118,11 @@ wl as (select doc_id, host, l from raw where regexp_matches(l, '[^ \t\n\x0B\f\r]
 dup as (select doc_id, count(*) - count(distinct l) as n from wl group by doc_id),
 nl as (select doc_id, host, regexp_replace(regexp_replace(translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}'), '[ \t\n\x0B\f\r]+', ' ', 'g'), '[0-9]+', '0', 'g') as l from wl),
 lw as (select doc_id, host, l, len(string_split(l, ' ')) as lw from nl),
-dw as (select doc_id, sum(lw) as dw from lw group by doc_id),
-cand as (select host, l from lw group by host, l having count(distinct doc_id) > {LINE_LIMIT}),
-pl as (select lw.* from lw join cand using (host, l)),
-car as (select pl.doc_id from pl join dw using (doc_id) group by pl.doc_id, dw having 2 * sum(lw) < dw),
-above as (select host, l from (select distinct doc_id, host, l from pl) join car using (doc_id) group by host, l having count(*) > {LINE_LIMIT}),
-rem as (select doc_id, sum(lw) as n from pl join above using (host, l) group by doc_id),
+one as (select host, min(doc_id) as doc_id from d group by host, t),
+tot as (select host, count(*) as n from one group by host),
+above as (select host, l from (select distinct lw.doc_id, lw.host, l from lw join one using (doc_id)) join tot using (host) group by host, l, n
+  having count(*) > {LINE_LIMIT} and 1000 * count(*) > {LINE_SHARE} * n),
+rem as (select doc_id, sum(lw) as n from lw join above using (host, l) group by doc_id),
 m as (select d.doc_id, cast(len(w.w) as bigint) as n_words,
   cast(length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) as bigint) as word_chars,
   cast(length(t) - length(translate(t, '{SYMBOLS}', '')) as bigint) as n_symbols,
