@@ -6,6 +6,7 @@ import struct
 import time
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 from itertools import pairwise
 
 import numpy as np
@@ -218,8 +219,74 @@ def test_op6_edges_and_held_out(edges, empty, spark):
 def test_op6_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    got = nbsvm.classify(docs, labels).where("held_out").join(labels, "doc_id").agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0]
-    assert got >= 0.98
+    got = nbsvm.classify(docs, labels).where("held_out").join(labels, "doc_id").select("score", "predicted", "quality").collect()
+    assert sum(r.predicted == r.quality for r in got) >= 0.98 * len(got)
+    good, bad = [r.score for r in got if r.quality == 1], np.sort([r.score for r in got if r.quality == 0])
+    above = sum(np.searchsorted(bad, g) + np.searchsorted(bad, g, "right") for g in good) / 2  # pairs in the right order, ties half
+    assert above / len(good) / len(bad) >= 0.99
+
+
+def slow_grams(text):
+    """The n-grams themselves, without hashes."""
+    words = split(text)
+    fold = lambda c: "a" if c >= "\x80" or "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c
+    shapes = [re.sub(r"(.)\1+", r"\1", "".join(map(fold, w)), flags=re.S) for w in words]
+    marked = [(s, bool(i) and words[i] == words[i - 1]) for i, s in enumerate(shapes)]
+    low = [ascii_lower(w) for w in words]
+    return {("s", *marked[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)} | {("w", *low[i : i + k]) for k in (1, 2) for i in range(len(words) - k + 1)}
+
+
+def test_op6_features_and_ratios_against_slow_counts():
+    texts = ["a-1,b-2,c-3,Q7x the End", "a-1,b-2,c-3,d#%&4 the end", "", None, "x x x Y", "É one É two", "b one One two two", "a" * 5000]
+    size = 1 << nbsvm.FEATURE_BITS
+    ids = [nbsvm.features(t) for t in texts]
+    names = [slow_grams(t) for t in texts]
+    of = {}  # the id of each n-gram, from texts that hold it and texts that do not
+    for g in set().union(*names):
+        left = set.intersection(*[set(i.tolist()) for i, n in zip(ids, names, strict=True) if g in n])
+        of[g] = left
+        assert left
+    assert [len(i) for i in ids] == [len(n) for n in names]  # no two n-grams of one of these texts share an id
+    assert len(set(ids[0].tolist()) ^ set(ids[1].tolist())) > 4
+    labels = np.array([1, 0, 1, 0, 1, 0, 1, 0])
+    ratio = nbsvm.log_ratios(ids, labels, size)
+    total = {y: size * nbsvm.SMOOTHING + sum(len(n) for n, z in zip(names, labels, strict=True) if z == y) for y in (0, 1)}
+    for g, places in of.items():
+        share = {y: (nbsvm.SMOOTHING + sum(g in n for n, z in zip(names, labels, strict=True) if z == y)) / total[y] for y in (0, 1)}
+        assert any(ratio[i] == pytest.approx(np.log(share[1] / share[0])) for i in places)
+
+
+def test_op6_dual_descent_against_slow_gradient():
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        n, size = 12, 8
+        rows = [np.sort(rng.choice(size, int(rng.integers(1, 6)), replace=False)) for _ in range(n)]
+        values, bias = [rng.normal(size=len(r)) for r in rows], rng.uniform(0.3, 1, n)
+        y, limit = np.where(rng.random(n) < 0.5, 1.0, -1.0), rng.uniform(0.2, 2, n)
+        x = np.zeros((n, size + 1))
+        for i, (r, v) in enumerate(zip(rows, values, strict=True)):
+            x[i, r], x[i, size] = v, bias[i]
+        goal = lambda w: w @ w / 2 + limit @ np.maximum(0, 1 - y * (x @ w))
+        alpha, q = np.zeros(n), (x * y[:, None]) @ (x * y[:, None]).T
+        step = 1 / np.linalg.eigvalsh(q)[-1]
+        for _ in range(20_000):  # projected gradient on the dual, all coordinates at once
+            alpha = np.clip(alpha - step * (q @ alpha - 1), 0, limit)
+        best = x.T @ (alpha * y)
+        w, b, a = nbsvm.dual_descent(rows, values, bias, y, limit, size, 3000, 1)
+        assert ((a >= 0) & (a <= limit)).all()
+        assert goal(np.append(w, b)) == pytest.approx(goal(best), abs=1e-3)
+
+
+def test_op6_repeated_rows_do_not_reach_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"good words {i}") for i in range(300)] + [(3, "bad #% words")] + [(i, "more words") for i in range(4, 40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(nbsvm, "fit", lambda rows, y: seen.append(len(rows)))
+    nbsvm.train(docs, labels, limit=20)
+    nbsvm.train(docs, labels, most=30)
+    nbsvm.train(docs, labels, most=0)
+    nbsvm.train(docs.limit(0), labels)
+    assert seen[0] <= 20 and 1 < seen[1] < 8 and seen[2:] == [1, 0]
 
 
 def least_minimax(sizes, k):
@@ -378,6 +445,59 @@ def test_op9_links_even_in_crowds(spark, monkeypatch, most, segments):
     assert got == {(i, j) for i in nodes for j in nodes if i < j and (nodes[i] ^ nodes[j]).bit_count() <= most}
 
 
+def families(rng, n, copies, words):
+    """Texts of n families: one of random words, and copies with some words replaced, swapped or left out."""
+    out = []
+    for _ in range(n):
+        base = [f"w{x}" for x in rng.integers(0, 5000, words)]
+        for _ in range(copies):
+            own = list(base)
+            for at in rng.integers(0, words, int(rng.integers(0, 8))).tolist():
+                own[at] = [f"n{rng.integers(0, 9999)}", own[at].upper(), ""][int(rng.integers(0, 3))]
+            out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("crowd", "hubs"), [(64, 16), (3, 1)])
+def test_op9_near_copies_are_components_of_all_pairs(spark, monkeypatch, crowd, hubs):
+    rng = np.random.default_rng(8)
+    texts = families(rng, 6, 20, 150) + families(rng, 30, 2, 120) + ["", None, "  ", "one two", "ONE two", "one two three four five six"]
+    sketches = [simhash_ring.sketch((t or "").encode()) for t in texts]
+    lanes, keys = np.array([a for a, _ in sketches]), [set(k.tolist()) for _, k in sketches]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        apart = np.unpackbits((lanes[:i] ^ lanes[i]).view(np.uint8).reshape(i, 32), axis=1).sum(1) if i else []
+        for j in range(i):
+            if apart[j] == 0 or (apart[j] <= 40 and keys[i] & keys[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(3, texts[3], 0), (None, texts[3], 0)], "doc_id bigint, text string, f0 int")
+    monkeypatch.setattr(simhash_ring, "key_links", partial(simhash_ring.key_links, crowd=crowd, hubs=hubs))
+    got = simhash_ring.near_copies(docs).collect()
+    assert len(got) == len(texts) + 2 and [r.component_id for r in got if r.doc_id is None] == [root(3)]
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {i: root(i) for i in range(len(texts))}
+    assert simhash_ring.near_copies(docs.limit(0)).count() == 0
+
+
+def test_op9_near_copies_recall(spark):
+    """Of pairs of texts whose sets of five-word shingles are similar to 0.8 or more, by comparing all pairs."""
+    rng = np.random.default_rng(9)
+    texts = families(rng, 40, 6, 200)
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (split(ascii_lower(t)) for t in texts)]
+    similar = [len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i in range(len(texts)) for j in range(i)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    got = dict(simhash_ring.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    near = [got[i] == got[j] for (i, j), s in zip(pairs, similar, strict=True) if s >= 0.8]
+    assert len(near) > 100 and sum(near) >= 0.95 * len(near)
+    assert not any(got[i] == got[j] for (i, j), s in zip(pairs, similar, strict=True) if s < 0.2)
+
+
 def test_op9_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 105)], "a bigint, b bigint")
     got = {r.node: r.label for r in simhash_ring.components(links).collect()}
