@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelock.llm import bin_slack, line_rules, nbsvm, ngram_decontam, simhash_ring
-from tidelock.llm.common import materialize, without_ids
+from tidelock.llm.common import clear, materialize, without_ids
 from tidelock.llm.pieces import tokenizer_path
 
 
@@ -28,8 +28,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with the least doc_id of each component; of rows that repeat a doc_id, one."""
-    found = simhash_ring.near_duplicates(docs)
+    """docs with the least doc_id of each component of texts similar to 0.8 or more (five words a shingle); of rows that repeat a doc_id, one."""
+    found = simhash_ring.near_copies(docs)
     kept = without_ids(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
     repeated = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")), "repeated")
     if repeated.limit(1).count():
@@ -65,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, keep=docs)
     return docs
