@@ -2,12 +2,15 @@
 
 Items are lower-cased, split into words and cut into windows of 10 consecutive words (a shorter item is one window).
 Distinct windows form a broadcast hash set. A document's windows are hashed in place and tested against a bit map of
-the set, a literal of bounded size; the few that pass leave their row with their words and are joined to the set on the
-words themselves, which verifies each hit. Hits of a document are then united into hit words.
+the set, 64 bits a window, which a scalar subquery hands to the tasks; the few that pass leave their row with their words
+and are joined to the set on the words themselves, which verifies each hit. Hits of a document are then united into hit
+words.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +18,8 @@ from .common import LOWER, UPPER, gram_hashes, materialize, small
 
 N = 10
 WORD_BREAK = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Most bits of the literal bit map: 2^20 (128 KB). With more windows it only lets more candidates through.
-MAP_BITS = 20
+#: Most bits of the bit map: 2^28 (32 MB), for 4 million windows. With more it lets more candidates through to the join.
+MAP_BITS = 28
 
 
 def words(text: str) -> str:
@@ -38,13 +41,14 @@ def _hashed(grams: DataFrame, sizes: list[int], bits: int) -> DataFrame:
     return rows.select(F.expr(f"cast((case {chosen} end) & {(1 << bits) - 1}L as int)").alias("b"))
 
 
-def _bit_map(grams: DataFrame, sizes: list[int], bits: int) -> list[int]:
-    """Which values of the lowest bits of the windows' hashes occur, as longs of 64; at most 2^bits / 64 rows reach the driver."""
-    found = [0] * ((1 << bits) >> 6)
+def _bit_map(grams: DataFrame, sizes: list[int], bits: int) -> DataFrame:
+    """One row: which values of the lowest bits of the windows' hashes occur, as an array of longs of 64; at most 2^bits / 64 of them reach the driver."""
+    found = np.zeros((1 << bits) >> 6, np.int64)
     if sizes:
-        for r in _hashed(grams, sizes, bits).groupBy(F.shiftright("b", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("v")).collect():
-            found[r["k"]] = r["v"]
-    return found
+        words64 = _hashed(grams, sizes, bits).groupBy(F.shiftright("b", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("v")).toArrow()
+        found[words64["k"].to_numpy()] = words64["v"].to_numpy()
+    one = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))
+    return grams.sparkSession.createDataFrame(pa.table({"map": one}))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -57,7 +61,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     counts = {r["n_words"]: r["c"] for r in grams.groupBy("n_words").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row per length up to n
     sizes = sorted(counts)
     bits = min(MAP_BITS, max(10, (64 * sum(counts.values())).bit_length()))
-    table = F.lit(_bit_map(grams, sizes, bits)).cast("array<bigint>")
+    table = _bit_map(grams, sizes, bits).scalar()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(words("text")).alias("_w"))
     rows = gram_hashes(rows, "_w", sizes).withColumn("_map", table)
     low = (1 << bits) - 1
