@@ -308,6 +308,21 @@ def test_op7_capacity_and_cuts():
         assert bounds == sorted(bounds) and max(sum(sizes[a:b]) for a, b in pairwise(bounds)) == least_minimax(sizes, k)
 
 
+def test_op7_capacity_is_the_least_over_groups(spark):
+    rng = np.random.default_rng(7)
+    for n, shards in ((0, 3), (1, 3), (40, 5), (300, 24), (2000, 7)):
+        rows = [(int(h), int(x)) for h, x in zip(rng.integers(-(1 << 63), 1 << 63, n), rng.integers(8, 3000, n), strict=True)]
+        rows += [(rows[0][0], 11)] * 5 if rows else []
+        groups = Counter()
+        for h, x in rows:
+            groups[h] += x
+        sizes = [groups[h] for h in sorted(groups)]
+        df = spark.createDataFrame(rows, "_h bigint, size bigint")
+        units = minimax_shards.group_ranges(df, shards, 4, 3)
+        assert units[:, 2].sum() == sum(sizes) and len(units) <= len(sizes)
+        assert minimax_shards.least_capacity(units[:, 2].tolist(), shards) == minimax_shards.least_capacity(sizes, shards)
+
+
 def test_op7_rows(edges, empty, spark):
     for docs in (edges, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
         got = minimax_shards.assign(docs).collect()
@@ -607,6 +622,41 @@ def test_op10_long_texts_of_many_places():
     assert time.perf_counter() - start < 60
 
 
+def edited(rng, notice, edits):
+    x = list(notice)
+    for at in sorted(rng.choice(len(x), edits, replace=False).tolist(), reverse=True):
+        x[at : at + 1] = [[], ["q"], [x[at], "q"]][int(rng.integers(3))]
+    return "".join(x)
+
+
+def test_op10_against_whole_texts_without_seeds():
+    """Random texts with edited notices, some right behind each other: the whole text searched by the regex library alone."""
+    s = license_fuzzy.Scanner()
+    rng = np.random.default_rng(12)
+    notices = list(license_fuzzy.NOTICES)
+    planted = 0
+    for _ in range(60):
+        words = [f"{'xyzuvw'[int(rng.integers(6))] * int(rng.integers(1, 4))}{rng.integers(99)}" for _ in range(120)]
+        for _ in range(3):
+            n = int(rng.integers(len(notices)))
+            at = int(rng.integers(len(words)))
+            words[at:at] = [edited(rng, notices[n], int(rng.integers(license_fuzzy.edits_for(notices[n]) + 1))) for _ in range(int(rng.integers(1, 3)))]
+        text = " " + " ".join(" ".join(words).split()) + " "
+        spans = s.scan(text)[-1]
+        for n, notice in enumerate(notices):
+            label, _, k, pattern = s.notices[n]
+            whole = sorted(s.best(text, n, 0, len(text)))
+            near = []
+            for end, (size, uses) in s.automaton.iter(text):
+                near += [(end - size + 1 - at, at) for m, at in uses if m == n]
+            got = s.verify(text, n, near)
+            starts = [text.count(" ", 0, a + 1) - 1 for a, _ in whole]
+            assert [(x[1], x[3]) for x in got] == [(w, sum(pattern.fullmatch(text, a, b).fuzzy_counts)) for w, (a, b) in zip(starts, whole, strict=True)], (notice, text)
+            assert all(x[0] == label and x[3] <= k for x in got) and all(x in spans for x in got)
+            planted += len(whole)
+    assert planted > 150
+
+
 def test_op10_edits_are_found():
     s = license_fuzzy.Scanner()
     for notice, label in license_fuzzy.NOTICES.items():

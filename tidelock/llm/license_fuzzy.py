@@ -8,6 +8,8 @@ matching. It reports the edits and the span.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,6 @@ NOTICES = {
 }
 #: One edit for so many characters of a notice.
 CHARS_PER_EDIT = 16
-#: Latest matches of a notice that a new one can overlap: windows lie over 2k apart, so few reach the same place.
-NEAR = 64
 
 _WORD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 OUT = (
@@ -81,16 +81,30 @@ class Scanner:
                     windows[-1][1] = at
                 else:
                     windows.append([found[low][0], at])
-        out, taken, at, blanks = [], [], 0, 0  # blanks before a place, counted on from the last one
+        taken: list[tuple[int, int]] = []
         for a, b in windows:
-            for m in pattern.finditer(text, max(a - k, 0), min(b + length + 2 * k, len(text))):
-                start, end = m.start() + len(m.group()) - len(m.group().lstrip()), m.end()
-                if any(start < y and x < end for x, y in taken[-NEAR:]):
-                    continue
-                taken.append((start, end))
-                blanks += text.count(" ", at, start + 1) if start >= at else -text.count(" ", start + 1, at)
-                at, first = start + 1, blanks - 1
-                out.append((label, first, first + len(m.group().split()), sum(m.fuzzy_counts), m.group().strip()))
+            for start, end in self.best(text, n, max(a - k, 0), min(b + length + 2 * k, len(text))):
+                i = bisect_left(taken, (start, end))  # taken ones lie apart, so only the neighbours can overlap
+                if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= end):
+                    insort(taken, (start, end))
+        out, at, blanks = [], 0, 0  # blanks before a place, counted on from the last one
+        for start, end in taken:
+            blanks += text.count(" ", at, start + 1)
+            at, found = start + 1, text[start:end]
+            edits = sum(pattern.fullmatch(text, start, end).fuzzy_counts)
+            out.append((label, blanks - 1, blanks - 1 + len(found.split()), edits, found.strip()))
+        return out
+
+    def best(self, text: str, n: int, start: int, end: int) -> list[tuple[int, int]]:
+        """Places of a notice within a range, apart from each other: the best match there, then the best to both sides of it. Blanks before a place do not belong to it."""
+        _, length, k, pattern = self.notices[n]
+        out, todo = [], [(start, end)]
+        while todo:
+            a, b = todo.pop()
+            if b - a >= length - k and (m := pattern.search(text, a, b)):
+                first = m.start() + len(m.group()) - len(m.group().lstrip())
+                out.append((first, m.end()))
+                todo += [(a, m.start()), (max(m.end(), a + 1), b)]
         return out
 
     def scan(self, raw: str) -> tuple:
