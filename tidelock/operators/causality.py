@@ -15,6 +15,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.folds import positions
+from ..shared import materialize, small
+
 SCHEMES = ("additive", "multiplicative", "permute", "replace", "extreme")
 PRICES = ("open", "high", "low", "close")
 
@@ -45,19 +48,10 @@ def gaussian(*parts: Column) -> Column:
     return F.sqrt(-2 * F.log(uniform(*parts, F.lit("r")))) * F.cos(2 * math.pi * uniform(*parts, F.lit("a")))
 
 
-def cutoffs(times: list, first: float, k: int) -> list:
-    """Evenly spaced decision times from the given share of the rows to the last but one."""
-    n = len(times)
-    if n < 4:
-        return []
-    at = np.unique(np.round(np.linspace(max(1, math.floor(first * n)), n - 2, k)).astype(int))
-    return [times[i] for i in at]
-
-
 def perturb(bars: DataFrame, trials: DataFrame, magnitude: float = 0.5, seed: int = 0) -> DataFrame:
     """bars once per trial (trial, cutoff, scheme), rows after the cutoff changed by the scheme; rows up to it are untouched."""
     spread = bars.groupBy("symbol").agg(F.stddev_pop("close").alias("_sd"), F.stddev_pop(F.log(F.when(F.col("close") > 0, F.col("close")))).alias("_lsd"))
-    rows = bars.crossJoin(F.broadcast(trials)).join(F.broadcast(spread), "symbol")  # trials: some dozens of rows
+    rows = bars.crossJoin(F.broadcast(trials)).join(small(spread), "symbol")  # trials: some dozens of rows
     draw = (F.lit(seed), F.col("trial"), F.col("symbol"), F.col("timestamp").cast("string"))
     future = F.col("timestamp") > F.col("cutoff")
     # Order of rows within the future (or past) of a symbol, by time and by hash: pairs of both orders permute or sample.
@@ -90,26 +84,39 @@ def perturb(bars: DataFrame, trials: DataFrame, magnitude: float = 0.5, seed: in
 
 
 def differences(base: DataFrame, new: DataFrame, rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:
-    """Per trial: weights up to the cutoff that moved, the first time, the largest move (infinite where one side is null)."""
+    """Per trial: weights up to the cutoff that moved, the first of them (time, symbol, before, after), the largest move (infinite where one side is null)."""
     b = base.select("timestamp", "symbol", F.col("weight").alias("_b"))
     rows = new.where(F.col("timestamp") <= F.col("cutoff")).join(b, ["timestamp", "symbol"], "left")
     a, c = F.col("_b"), F.col("weight")
     same = a.eqNullSafe(c) | F.coalesce(F.abs(a - c) <= atol + rtol * F.abs(c), F.lit(False))
     gap = F.when(a.isNull() != c.isNull(), F.lit(float("inf"))).otherwise(F.abs(a - c))
-    return rows.groupBy("trial", "scheme").agg(F.count_if(~same).alias("n_changed"), F.min(F.when(~same, F.col("timestamp"))).alias("first_changed"), F.max(F.when(~same, gap)).alias("largest"))
+    first = F.min(F.when(~same, F.struct("timestamp", "symbol", F.col("_b").alias("original"), F.col("weight").alias("perturbed"))))
+    out = rows.groupBy("trial", "scheme").agg(F.count_if(~same).alias("n_changed"), first.alias("_f"), F.max(F.when(~same, gap)).alias("largest"))
+    return out.select("trial", "scheme", "n_changed", F.col("_f.timestamp").alias("first_changed"), "largest", F.col("_f.symbol").alias("first_symbol"), F.col("_f.original").alias("original"), F.col("_f.perturbed").alias("perturbed"))
 
 
-def run(strategy: Strategy, bars: DataFrame, first: float = 0.5, k: int = 8, schemes: tuple[str, ...] = SCHEMES, magnitude: float = 0.5, seed: int = 42) -> DataFrame:
+def run(strategy: Strategy, bars: DataFrame, first: float = 0.2, k: int = 8, schemes: tuple[str, ...] = SCHEMES, magnitude: float = 0.5, seed: int = 42) -> DataFrame:
     """Per trial: scheme, n_changed, first_changed, largest. bars: timestamp, symbol, OHLCV."""
     return _run(strategy, bars, _table(bars, first, k, schemes), magnitude, seed)
 
 
-def _times(bars: DataFrame) -> list:
-    return [r[0] for r in bars.select("timestamp").distinct().orderBy("timestamp").collect()]  # a calendar of bars
+def places(n: int, first: float, k: int) -> list[int]:
+    """Evenly spaced places from the given share of n to the last but one, rounded half to even."""
+    return np.unique(np.round(np.linspace(max(1, math.floor(first * n)), n - 2, k)).astype(int)).tolist() if n >= 4 else []
+
+
+def cutoffs(bars: DataFrame, first: float, k: int, besides: tuple[int, ...] = ()) -> list:
+    """The decision times at places() of the calendar, and those at other places (negative: from the end). Only these reach the driver."""
+    calendar = bars.select("timestamp").distinct()
+    n = calendar.count()
+    at = [*places(n, first, k), *(p % n for p in besides if n)]
+    placed = positions(calendar, "timestamp").where(F.col("pos").isin(at)) if at else calendar.limit(0).withColumn("pos", F.lit(0))
+    times = {r["pos"]: r["timestamp"] for r in placed.collect()}
+    return [times[p] for p in at]
 
 
 def _table(bars: DataFrame, first: float, k: int, schemes: tuple[str, ...]) -> list[tuple]:
-    return [(i, c, s) for i, (c, s) in enumerate((c, s) for c in cutoffs(_times(bars), first, k) for s in schemes)]
+    return [(i, c, s) for i, (c, s) in enumerate((c, s) for c in cutoffs(bars, first, k) for s in schemes)]
 
 
 def _run(strategy: Strategy, bars: DataFrame, table: list[tuple], magnitude: float, seed: int, until=None) -> DataFrame:
@@ -121,7 +128,7 @@ def _run(strategy: Strategy, bars: DataFrame, table: list[tuple], magnitude: flo
     return differences(strategy(Bars(bars)), new)
 
 
-def run_all(strategy: Strategy, bars: DataFrame, first: float = 0.5, k: int = 8, schemes: tuple[str, ...] = SCHEMES, magnitude: float = 0.5, seed: int = 42) -> tuple[list, list[dict]]:
+def run_all(strategy: Strategy, bars: DataFrame, first: float = 0.2, k: int = 8, schemes: tuple[str, ...] = SCHEMES, magnitude: float = 0.5, seed: int = 42) -> tuple[list, list[dict]]:
     """Rows of run and errors. Trials run in one plan; where that fails, each runs by itself, and those that fail are errors."""
     table = _table(bars, first, k, schemes)
     try:
@@ -138,7 +145,7 @@ def run_all(strategy: Strategy, bars: DataFrame, first: float = 0.5, k: int = 8,
 
 def n_unstable(strategy: Strategy, bars: DataFrame, rtol: float = 1e-9, atol: float = 1e-12) -> int:
     """Weights that differ between two baseline runs. The first is written out, so that one run cannot serve as both."""
-    a = strategy(Bars(bars)).select("timestamp", "symbol", F.col("weight").alias("_a")).localCheckpoint()
+    a = materialize(strategy(Bars(bars)).select("timestamp", "symbol", F.col("weight").alias("_a")), "baseline")
     b = strategy(Bars(bars)).select("timestamp", "symbol", F.col("weight").alias("_b"))
     x, y = F.col("_a"), F.col("_b")
     same = x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= atol + rtol * F.abs(y), F.lit(False))
@@ -147,9 +154,9 @@ def n_unstable(strategy: Strategy, bars: DataFrame, rtol: float = 1e-9, atol: fl
 
 def control_changes(strategy: Strategy, bars: DataFrame, magnitude: float = 0.5, seed: int = 42) -> int | None:
     """Weights that move when everything after the first time is perturbed; none: the trials say nothing. Null where the strategy fails."""
-    times = _times(bars)
     try:
-        got = _run(strategy, bars, [(0, times[0], "extreme")], magnitude, seed + 1, times[-1]).first()
+        ends = cutoffs(bars, 0.0, 0, (0, -1))
+        got = _run(strategy, bars, [(0, ends[0], "extreme")], magnitude, seed + 1, ends[-1]).first() if ends else None
         return got["n_changed"] if got else 0
     except Exception:
         return None

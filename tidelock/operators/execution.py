@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError
+from ..errors import ConfigError, DataError
+from ..functions import moments
+from ..shared import small
+from . import prepare
 from . import windows as wn
 
 # ---- costs: functions from a row's columns to a fraction of equity. Rows have trade, price, vol, adv, capital.
@@ -115,8 +119,8 @@ def lagged_target(lag: int, w: Window) -> Column:
 
 def market_fill(bars: DataFrame, keys: list[str], fill: str = "close", lag: int = 1) -> DataFrame:
     """bars (with weight) and held, trade, gross, price. fill: close (lag 0 or more), next_close or next_open (lag 1 or more)."""
-    if fill not in FILLS or (fill != "close" and lag < 1):
-        raise ConfigError(f"fill {fill!r} with lag {lag} is not known; fills: {sorted(FILLS)}; next_* needs a lag of 1 or more")
+    if fill not in ("close", "next_close", "next_open") or lag < LEAST_LAG.get(fill, 0):
+        raise ConfigError(f"fill {fill!r} with lag {lag} is not known; next_* needs a lag of 1 or more")
     w = Window.partitionBy(*keys).orderBy("timestamp")
     rows = bars.withColumn("held", lagged_target(lag, w)).withColumns({"_old": F.coalesce(F.lag("held").over(w), F.lit(0.0)), "_prev": F.lag("close").over(w)})
     rows = rows.withColumn("trade", F.col("held") - F.col("_old"))
@@ -129,7 +133,26 @@ def market_fill(bars: DataFrame, keys: list[str], fill: str = "close", lag: int
     return rows.withColumns({"gross": gross, "price": F.coalesce(price, F.col("close"))}).drop("_old", "_prev")
 
 
-FILLS = {"close", "next_close", "next_open"}
+#: A fill takes (bars with weight, keys) and adds held, trade, gross and price. Own ones are registered, or given to simulate() as they are.
+Fill = Callable[[DataFrame, list[str]], DataFrame]
+FILLS: dict[str, Callable[[int], Fill]] = {
+    "close": lambda lag: lambda bars, keys: market_fill(bars, keys, "close", lag),
+    "next_close": lambda lag: lambda bars, keys: market_fill(bars, keys, "next_close", lag),
+    "next_open": lambda lag: lambda bars, keys: market_fill(bars, keys, "next_open", lag),
+    "limit": lambda lag: lambda bars, keys: limit_fill(bars, keys),
+}
+LEAST_LAG = {"next_close": 1, "next_open": 1}
+
+
+def fill_model(fill: str | Fill, lag: int = 1) -> Fill:
+    """The fill of that name, or the function itself."""
+    if callable(fill):
+        return fill
+    if fill not in FILLS or lag < LEAST_LAG.get(fill, 0):
+        raise ConfigError(f"fill {fill!r} with lag {lag} is not known; fills: {sorted(FILLS)}; next_* needs a lag of 1 or more")
+    return FILLS[fill](lag)
+
+
 LIMIT_SCHEMA = "held double, trade double, gross double, price double, ordered int, filled int"
 
 
@@ -162,17 +185,31 @@ def limit_fill(bars: DataFrame, keys: list[str], offset_bps: float = 10.0) -> Da
     return bars.groupBy(*keys).applyInPandas(walk, f"{fields}, {LIMIT_SCHEMA}")
 
 
-def simulate(bars: DataFrame, keys: list[str], costs: CostModel | None = None, fill: str = "close", lag: int = 1, capital: float = 1e6, vol_rows: int = 20) -> DataFrame:
-    """bars (with weight) and held, trade, gross, one column cost_<name> per component, cost and net. Volatility and ADV are of the rows before."""
+def _not_infinite(bars: DataFrame) -> DataFrame:
+    endless = F.abs(F.col("weight").cast("double")) == float("inf")
+    return bars.withColumn("weight", F.when(endless, F.raise_error(F.lit("a weight is infinite"))).otherwise(F.col("weight").cast("double")))
+
+
+def _market_context(bars: DataFrame, w, capital: float, vol_rows: int) -> DataFrame:
+    """bars with vol, adv (both of the rows before) and capital, which costs read."""
+    rows = bars.withColumn("_ret", wn.pct_change(F.col("close"), w))
+    return rows.withColumns({"vol": wn.causal_volatility(F.col("_ret"), w, vol_rows), "adv": wn.rolling_mean(F.col("volume").cast("double"), w, 20), "capital": F.lit(float(capital))}).drop("_ret")
+
+
+def _costs(model: CostModel | None) -> dict[str, Column]:
+    """Columns by name; a component that is negative anywhere is an error."""
+    parts = {n: F.coalesce(c, F.lit(0.0)) for n, c in (model or CostModel()).columns().items()}
+    return {n: F.when(c < 0, F.raise_error(F.lit(f"cost {n} is negative"))).otherwise(c) for n, c in parts.items()}
+
+
+def simulate(bars: DataFrame, keys: list[str], costs: CostModel | None = None, fill: str | Fill = "close", lag: int = 1, capital: float = 1e6, vol_rows: int = 20) -> DataFrame:
+    """bars (with weight; null is flat, infinite an error) and held, trade, gross, one column cost_<name> per component, cost and net. Volatility and ADV are of the rows before."""
     w = Window.partitionBy(*keys).orderBy("timestamp")
-    rows = limit_fill(bars, keys) if fill == "limit" else market_fill(bars, keys, fill, lag)
-    rows = rows.withColumn("_ret", wn.pct_change(F.col("close"), w)).withColumns(
-        {"vol": wn.causal_volatility(F.col("_ret"), w, vol_rows), "adv": wn.rolling_mean(F.col("volume").cast("double"), w, 20), "capital": F.lit(float(capital))}
-    )
-    parts = (costs or CostModel()).columns()
-    rows = rows.withColumns({f"cost_{n}": F.coalesce(c, F.lit(0.0)) for n, c in parts.items()})
+    rows = _market_context(fill_model(fill, lag)(_not_infinite(bars), keys), w, capital, vol_rows)
+    parts = _costs(costs)
+    rows = rows.withColumns({f"cost_{n}": c for n, c in parts.items()})
     total = sum((F.col(f"cost_{n}") for n in parts), F.lit(0.0))
-    return rows.withColumn("cost", total).withColumn("net", F.col("gross") - F.col("cost")).drop("_ret")
+    return rows.withColumn("cost", total).withColumn("net", F.col("gross") - F.col("cost"))
 
 
 def portfolio(sim: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -182,6 +219,17 @@ def portfolio(sim: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def portfolio_weights(sim: DataFrame) -> DataFrame:
+    """(timestamp, symbol, held) on the whole calendar of the panel: each symbol is simulated on its own rows, and holds its last weight where it has none; 0 before its first."""
+    w = Window.partitionBy("symbol").orderBy("timestamp")
+    return prepare.completed(sim, "held").withColumn("held", F.coalesce(wn.carried(F.col("held"), w), F.lit(0.0)))
+
+
+def fill_rate(sim: DataFrame) -> DataFrame:
+    """(symbol, fill_rate) of limit orders: filled of ordered, 1 without orders."""
+    return sim.groupBy("symbol").agg(F.coalesce(F.try_divide(F.sum("filled"), F.sum("ordered")), F.lit(1.0)).alias("fill_rate"))
+
+
 # ---- effective-dated fees
 
 #: Rates are fractions of value, by segment and date; an open end is null.
@@ -191,13 +239,93 @@ FEE_SCHEMA = "segment string, valid_from date, valid_to date, tax_buy double, ta
 def charge(trades: DataFrame, schedule: DataFrame) -> DataFrame:
     """trades (trade_id, value, side, segment, day, brokerage) with `charge` and `n_schedules` (0: not covered, 2 or more: overlap)."""
     covered = (F.col("segment") == F.col("_seg")) & (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") <= F.col("valid_to")))
-    rows = trades.join(F.broadcast(schedule.withColumnRenamed("segment", "_seg")), covered, "left")  # a schedule has some dozens of dated rows
+    rows = trades.join(small(schedule.withColumnRenamed("segment", "_seg")), covered, "left")
     buy = F.col("side") == "buy"
     levy = F.col("value") * (F.col("exchange") + F.col("regulator"))
     total = F.col("value") * (F.when(buy, F.col("tax_buy")).otherwise(F.col("tax_sell"))) + levy + F.when(buy, F.col("value") * F.col("stamp_buy")).otherwise(0.0) + F.col("indirect") * (F.col("brokerage") + levy)
     return rows.groupBy(*trades.columns).agg(F.first(total, True).alias("charge"), F.count("_seg").alias("n_schedules"))
 
 
+@dataclass(frozen=True)
+class Fees:
+    """Rates of one segment between two dates, both included; an open end is None."""
+
+    segment: str
+    valid_from: dt.date
+    valid_to: dt.date | None = None
+    tax_buy: float = 0.0
+    tax_sell: float = 0.0
+    exchange: float = 0.0
+    regulator: float = 0.0
+    stamp_buy: float = 0.0
+    indirect: float = 0.0
+
+    def row(self) -> tuple:
+        return tuple(vars(self).values())
+
+
+@dataclass(frozen=True)
+class Provider:
+    """A named set of dated fees. Overlaps are an error when it is made; days and segments it does not cover, when it is used."""
+
+    name: str
+    fees: tuple[Fees, ...]
+
+    def __post_init__(self):
+        for segment in self.segments():
+            spans = sorted((f.valid_from, f.valid_to or dt.date.max) for f in self.fees if f.segment == segment)
+            if any(b[0] <= a[1] for a, b in zip(spans, spans[1:], strict=False)):
+                raise ConfigError(f"fees of {segment} overlap")
+
+    def segments(self) -> list[str]:
+        return sorted({f.segment for f in self.fees})
+
+    def schedule(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([f.row() for f in self.fees], FEE_SCHEMA)
+
+    def charge(self, trades: DataFrame) -> DataFrame:
+        """charge() of trades, or an error that names the first trade without a schedule and where coverage starts."""
+        found = charge(trades, self.schedule(trades.sparkSession))
+        if lost := found.where("n_schedules <> 1").orderBy("day").first():
+            if lost["segment"] not in self.segments():
+                raise DataError(f"{lost['segment']!r} is no segment of {self.name}; known: {self.segments()}")
+            raise DataError(f"{self.name} has no fees for {lost['segment']} on {lost['day']}; they start on {min(f.valid_from for f in self.fees if f.segment == lost['segment'])}")
+        return found
+
+    def cost(self, segment: str, brokerage_bps: float = 0.0, cap: float | None = None) -> Cost:
+        """A component of a cost model: the charges of each bar's trade at that day's rates, brokerage (in bps, at most `cap` an order) included. A schedule is some rows, so it is part of the expression."""
+        if segment not in self.segments():
+            raise ConfigError(f"{segment!r} is no segment of {self.name}; known: {self.segments()}")
+
+        def build() -> Column:
+            value = F.abs("trade") * F.col("capital")
+            brokerage = value * brokerage_bps / 1e4
+            brokerage = brokerage if cap is None else F.least(brokerage, F.lit(float(cap)))
+            total, buy, day = F.raise_error(F.lit(f"{self.name} has no fees for {segment} on a day of these bars")).cast("double"), F.col("trade") > 0, F.to_date("timestamp")
+            for f in self.fees:
+                if f.segment == segment:
+                    levy = value * (f.exchange + f.regulator)
+                    sums = value * F.when(buy, f.tax_buy + f.stamp_buy).otherwise(f.tax_sell) + levy + brokerage + f.indirect * (brokerage + levy)
+                    inside = day.between(F.lit(f.valid_from), F.lit(f.valid_to)) if f.valid_to else day >= F.lit(f.valid_from)
+                    total = F.when(inside, sums).otherwise(total)
+            return F.when(F.coalesce(F.col("trade"), F.lit(0.0)) != 0, total / F.col("capital")).otherwise(0.0)
+
+        return Cost("statutory", build)
+
+
+_FROM, _CHANGE = dt.date(2024, 10, 1), dt.date(2026, 4, 1)
+_COMMON = {"regulator": 10 / 1e7, "indirect": 0.18}
+# Charges on the National Stock Exchange of India as published, fractions of value (of the premium for options).
+NSE = Provider("india_nse", (
+    Fees("equity_delivery", _FROM, None, 0.001, 0.001, 0.0000297, stamp_buy=0.00015, **_COMMON),
+    Fees("equity_intraday", _FROM, None, 0.0, 0.00025, 0.0000297, stamp_buy=0.00003, **_COMMON),
+    Fees("equity_futures", _FROM, _CHANGE - dt.timedelta(days=1), 0.0, 0.0002, 0.0000173, stamp_buy=0.00002, **_COMMON),
+    Fees("equity_futures", _CHANGE, None, 0.0, 0.0005, 0.0000173, stamp_buy=0.00002, **_COMMON),
+    Fees("equity_options", _FROM, _CHANGE - dt.timedelta(days=1), 0.0, 0.001, 0.0003503, stamp_buy=0.00003, **_COMMON),
+    Fees("equity_options", _CHANGE, None, 0.0, 0.0015, 0.0003503, stamp_buy=0.00003, **_COMMON),
+))
+
+
 # ---- reports
 
 
@@ -206,6 +334,26 @@ def turnover_by_year(trades: DataFrame) -> DataFrame:
     return per.groupBy(F.year("timestamp").alias("year")).agg(F.sum("g").alias("gross_turnover"), F.sum("n").alias("net_turnover"), F.count_if(F.col("g") > 0).alias("trading_bars"))
 
 
+def turnover_statistics(trades: DataFrame, periods: float = 252.0) -> DataFrame:
+    """One row: gross and net totals, mean and annual turnover, bars with a trade, and the holding period in bars (2 / mean)."""
+    per = trades.groupBy("timestamp").agg(F.sum(F.abs("trade")).alias("g"), F.abs(F.sum("trade")).alias("n"))
+    return per.agg(
+        F.sum("g").alias("gross_turnover"), F.sum("n").alias("net_turnover"), F.avg("g").alias("mean_turnover"), (F.avg("g") * periods).alias("annual_turnover"),
+        F.count_if(F.col("g") > 0).alias("trading_bars"), F.try_divide(F.lit(2.0), F.avg("g")).alias("holding_bars"),
+    )
+
+
+def headline(returns: DataFrame, value: str = "ret", keys: tuple[str, ...] = (), periods: float = 252.0) -> DataFrame:
+    """Per key: n, sharpe, cagr, max_drawdown, volatility (annual) and total return of the returns that are not null."""
+    rows = returns.where(F.col(value).isNotNull())
+    flat = rows if keys else rows.withColumn("_all", F.lit(0))
+    by = list(keys) or ["_all"]
+    m = moments.sharpe_by(flat, value, by, periods).select(*by, "n", "sharpe")
+    rest = flat.groupBy(*by).agg((F.stddev_samp(value) * periods**0.5).alias("volatility"), (F.product(1 + F.col(value)) - 1).alias("total_return"))
+    out = m.join(rest, by).join(moments.growth_by(flat, value, by, periods), by).join(moments.max_drawdown_by(flat, value, by), by)
+    return out.select(*keys, "n", "sharpe", "cagr", "max_drawdown", "volatility", "total_return")
+
+
 def timing(ledger: DataFrame) -> DataFrame:
     """Latency of executions after signals in seconds: counts at zero and before, min, median, max."""
     sec = F.expr("(unix_micros(cast(execution_time as timestamp)) - unix_micros(cast(signal_time as timestamp))) / 1e6").cast("double")
@@ -225,15 +373,42 @@ def attribution(port: DataFrame, sim: DataFrame, periods: float = 252.0) -> Data
     return sums.select("_n", items.alias("_i")).select("_i.component", "_i.total", (F.col("_i.total") / F.col("_n") * periods).alias("annual"))
 
 
-def scenario_table(bars: DataFrame, scenarios: dict[str, dict], periods: float = 252.0) -> DataFrame:
-    """(scenario, sharpe, total) of several simulations of one panel, in one plan."""
-    from ..functions import moments
-
+def scenario_rows(bars: DataFrame, scenarios: dict[str, dict]) -> DataFrame:
+    """(scenario, timestamp, symbol, gross, cost, net, trade) of several simulations of one panel. Market fills share one pass of windows, and an explode lays the scenarios out; other fills are simulated by themselves."""
+    w = Window.partitionBy("symbol").orderBy("timestamp")
+    market = {n: s for n, s in scenarios.items() if s.get("fill", "close") in ("close", "next_close", "next_open")}
+    columns = ["scenario", "timestamp", "symbol", "gross", "cost", "net", "trade"]
     out = None
-    for name, settings in scenarios.items():
-        one = portfolio(simulate(bars, ["symbol"], **settings)).select(F.lit(name).alias("scenario"), "net")
+    for name in scenarios.keys() - market.keys():
+        one = simulate(bars, ["symbol"], **scenarios[name]).withColumn("scenario", F.lit(name)).select(*columns)
+        out = one if out is None else out.unionByName(one)
+    if market:
+        for s in market.values():
+            fill_model(s.get("fill", "close"), s.get("lag", 1))
+        lags = sorted({x for s in market.values() for x in (s.get("lag", 1), s.get("lag", 1) + 1)})
+        rows = _market_context(_not_infinite(bars), w, 1e6, 20).withColumns({f"_w{k}": lagged_target(k, w) for k in lags} | {"_prev": F.lag("close").over(w)})
+        zero = F.lit(0.0)
+        by_close = F.coalesce(F.try_divide(F.col("close"), F.col("_prev")) - 1, zero)
+        overnight, day = F.coalesce(F.try_divide(F.col("open"), F.col("_prev")) - 1, zero), F.coalesce(F.try_divide(F.col("close"), F.col("open")) - 1, zero)
+        items = []
+        for name, s in market.items():
+            held, old, opening = F.col(f"_w{s.get('lag', 1)}"), F.col(f"_w{s.get('lag', 1) + 1}"), s.get("fill", "close") == "next_open"
+            gross = (1 + old * overnight) * (1 + held * day) - 1 if opening else old * by_close
+            price = F.coalesce(F.col("open"), F.col("close")) if opening else F.col("close")
+            items.append(F.struct(F.lit(name).alias("scenario"), (held - old).alias("trade"), gross.alias("gross"), price.alias("price"), F.lit(float(s.get("capital", 1e6))).alias("capital")))
+        rows = rows.drop("capital").withColumn("_s", F.explode(F.array(*items))).select("*", "_s.*").drop("_s")
+        cost = F.lit(None).cast("double")
+        for name, s in market.items():
+            cost = F.when(F.col("scenario") == name, sum(_costs(s.get("costs")).values(), zero)).otherwise(cost)
+        one = rows.withColumn("cost", cost).withColumn("net", F.col("gross") - F.col("cost")).select(*columns)
         out = one if out is None else out.unionByName(one)
-    return moments.sharpe_by(out, "net", ["scenario"], periods)
+    return out
+
+
+def scenario_table(bars: DataFrame, scenarios: dict[str, dict], periods: float = 252.0, since=None) -> DataFrame:
+    """(scenario, n, total, sharpe) of several simulations of one panel, in one plan; from a time on, if given."""
+    rows = portfolio(scenario_rows(bars, scenarios), ("scenario",))
+    return moments.sharpe_by(rows if since is None else rows.where(F.col("timestamp") >= F.lit(since)), "net", ["scenario"], periods)
 
 
 def roll_spread(bars: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRICES = ("open", "high", "low", "close")
@@ -29,6 +29,31 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_duplicate_rows"))
 
 
+def examples(df: DataFrame, condition: Column, value: str = "timestamp", seq: str = "_seq", k: int = 5) -> list[str]:
+    """The first k different values, in input order, of the rows that meet a condition."""
+    rows = df.where(condition).groupBy(F.col(value).cast("string").alias("v")).agg(F.min(seq).alias("_at"))
+    return [r["v"] for r in rows.orderBy("_at").limit(k).collect()]
+
+
+def repeated(df: DataFrame, keys: list[str], seq: str = "_seq", k: int = 5) -> list[str]:
+    """The first k timestamps that repeat within keys, in the order of their second row."""
+    rows = df.where("timestamp is not null").groupBy(*keys, "timestamp").agg(F.count(F.lit(1)).alias("_n"), F.max(seq).alias("_at")).where("_n > 1")
+    return [r["v"] for r in rows.groupBy(F.col("timestamp").cast("string").alias("v")).agg(F.min("_at").alias("_at")).orderBy("_at").limit(k).collect()]
+
+
+def missing_values(df: DataFrame, besides: tuple[str, ...] = ("timestamp",)) -> DataFrame:
+    """One row: per column the number of nulls and NaN."""
+    kinds = {c: t for c, t in df.dtypes if c not in besides}
+    return df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(c) if t in ("float", "double") else F.col(c).isNull()).alias(c) for c, t in kinds.items()])
+
+
+def first_backward(df: DataFrame, time: str, seq: str, keys: list[str]) -> DataFrame:
+    """Per key, the first strict decrease of time in input order: (seq, before, after)."""
+    w = Window.partitionBy(*keys).orderBy(seq)
+    rows = df.where(F.col(time).isNotNull()).withColumn("_p", F.lag(time).over(w)).where(F.col(time) < F.col("_p"))
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(F.col(seq).alias("seq"), F.col("_p").alias("before"), F.col(time).alias("after")), F.col(seq)).alias("_r")).select(*keys, "_r.*")
+
+
 def out_of_order(df: DataFrame, time: str, seq: str, keys: list[str]) -> DataFrame:
     """Per key: strict decreases of time in input order."""
     w = Window.partitionBy(*keys).orderBy(seq)
@@ -58,11 +83,11 @@ def stale_runs(df: DataFrame, value: str, least: int, keys: list[str]) -> DataFr
 
 
 def extreme_returns(df: DataFrame, value: str, limit: float, keys: list[str]) -> DataFrame:
-    """Per key: returns beyond the limit, and the worst one with its sign. Prices that are not positive are null."""
+    """Per key: returns beyond the limit, the worst one with its sign and its time. Prices that are not positive are null."""
     w = Window.partitionBy(*keys).orderBy("timestamp")
     p = F.when(F.col(value) > 0, F.col(value))
     rows = df.withColumn("_p", p).withColumn("_r", F.try_divide(F.col("_p"), F.lag("_p").over(w)) - 1)
-    return rows.groupBy(*keys).agg(F.count_if(F.abs("_r") > limit).alias("n_extreme"), F.max_by("_r", F.struct(F.abs("_r"), "timestamp")).alias("worst"))
+    return rows.groupBy(*keys).agg(F.count_if(F.abs("_r") > limit).alias("n_extreme"), F.max_by("_r", F.struct(F.abs("_r"), "timestamp")).alias("worst"), F.max_by("timestamp", F.struct(F.abs("_r"), "timestamp")).alias("worst_time"))
 
 
 def synchrony(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def volatility(df: DataFrame, value: str, rows: int = 63, periods: float = 252.0
     return df.withColumn("_vol", wn.rolling_std(F.col(value), w, rows, max(5, rows // 2)) * math.sqrt(periods))
 
 
-def volatility_regimes(df: DataFrame, value: str, rows: int = 63, quantiles: tuple[float, ...] = (1 / 3, 2 / 3), labels: tuple[str, ...] = ("low", "mid", "high"), periods: float = 252.0) -> DataFrame:
+def volatility_regimes(df: DataFrame, value: str, rows: int = 63, quantiles: tuple[float, ...] = (1 / 3, 2 / 3), labels: tuple[str, ...] = ("low", "normal", "high"), periods: float = 252.0) -> DataFrame:
     """df with regime: bins (a, b] of trailing volatility at its quantiles over the sample; tied cuts leave it null."""
     v = volatility(df, value, rows, periods)
     cuts = v.agg(*[F.expr(f"percentile(_vol, {q!r})").alias(f"_q{i}") for i, q in enumerate(quantiles)])
@@ -30,21 +30,22 @@ def volatility_regimes(df: DataFrame, value: str, rows: int = 63, quantiles: tup
     return v.withColumn("regime", out).drop("_vol", *[f"_q{i}" for i in range(len(quantiles))])
 
 
-def drawdown_regimes(df: DataFrame, value: str, cuts: tuple[float, ...] = (-0.2, -0.1, -0.05), labels: tuple[str, ...] = ("crash", "deep", "mild", "near_high")) -> DataFrame:
-    """df with regime: bins [a, b) of the drawdown at the row before (0 on the first)."""
+def drawdown_regimes(df: DataFrame, value: str, cuts: tuple[float, ...] = (-0.1, -0.2), labels: tuple[str, ...] | None = None) -> DataFrame:
+    """df with regime: bins [a, b) of the drawdown at the row before, null on the first. labels: from no drawdown to the deepest, one more than cuts."""
+    names = labels or tuple(["normal", "drawdown", "deep_drawdown"][: len(cuts) + 1] if len(cuts) <= 2 else [f"level_{i}" for i in range(len(cuts) + 1)])
     w = Window.orderBy("timestamp")
-    d = df.withColumn("_e", wn.equity(F.col(value), w)).withColumn("_d", wn.drawdown(F.col("_e"), w)).withColumn("_d", F.coalesce(F.lag("_d").over(w), F.lit(0.0)))
-    out = F.when(F.col("_d") < cuts[0], labels[0])
-    for c, name in zip(cuts[1:], labels[1:], strict=False):
+    d = df.withColumn("_e", wn.equity(F.col(value), w)).withColumn("_d", wn.drawdown(F.col("_e"), w)).withColumn("_d", F.lag("_d").over(w))
+    out = F.when(F.col("_d").isNull(), F.lit(None).cast("string"))
+    for c, name in zip(sorted(cuts), reversed(names), strict=False):
         out = out.when(F.col("_d") < c, name)
-    return d.withColumn("regime", out.otherwise(labels[-1])).drop("_e", "_d")
+    return d.withColumn("regime", out.otherwise(names[0])).drop("_e", "_d")
 
 
 def trend_regimes(df: DataFrame, value: str, rows: int = 126) -> DataFrame:
-    """df with regime: sign of the growth over the `rows` rows before; null until there are so many."""
+    """df with regime, bull or bear: sign of the growth over the `rows` rows before; null until there are so many."""
     w = Window.orderBy("timestamp").rowsBetween(-rows, -1)
-    g = F.when(F.count(value).over(w) == rows, F.product(1 + F.coalesce(F.col(value), F.lit(0.0))).over(w) - 1)
-    return df.withColumn("_g", g).withColumn("regime", F.when(F.col("_g") > 0, "up").when(F.col("_g").isNotNull(), "down")).drop("_g")
+    g = F.when(F.count(F.lit(1)).over(w) == rows, F.product(1 + F.coalesce(F.col(value), F.lit(0.0))).over(w) - 1)
+    return df.withColumn("_g", g).withColumn("regime", F.when(F.col("_g") > 0, "bull").when(F.col("_g").isNotNull(), "bear")).drop("_g")
 
 
 def performance(df: DataFrame, value: str, periods: float = 252.0, least: int = 40) -> DataFrame:

@@ -29,33 +29,23 @@ def indices(n: int, rng: np.random.Generator, method: str, block: float) -> np.n
 
 
 def block_length(x: np.ndarray, method: str = "stationary") -> float:
-    """Automatic block length after Politis and White with the 2009 correction."""
+    """Automatic block length after Politis and White with the 2009 correction, between 1 and the lesser of 3 sqrt(n) and n / 3."""
     n = len(x)
-    if n < 8:
+    eps = x - x.mean() if n else x
+    if n < 8 or not float(eps @ eps) > 0:
         return 1.0
-    eps = x - x.mean()
-    kn = max(5, math.ceil(math.sqrt(math.log10(n))))
-    m_max = math.ceil(math.sqrt(n)) + kn
-    b_max = math.ceil(min(3 * math.sqrt(n), n / 3))
-    cov = np.array([float(eps[k:] @ eps[: n - k]) / n for k in range(m_max + 1)])
-    if cov[0] <= 0:
+    quiet = max(5, math.ceil(math.sqrt(math.log10(n))))  # so many lags in a row without correlation end the dependence
+    far = min(math.ceil(math.sqrt(n)) + quiet, n - 1)
+    cov = np.array([float(eps[k:] @ eps[: n - k]) for k in range(far + 1)]) / n
+    silent = np.abs(cov / cov[0]) < 2 * math.sqrt(math.log10(n) / n)
+    last = next((m for m in range(1, far - quiet + 2) if silent[m : m + quiet].all()), far)
+    lags = np.arange(1, min(2 * last, far) + 1)
+    taper = np.minimum(1.0, 2 * (1 - lags / lags[-1]))  # flat to the middle, then a straight line to 0
+    spread, level = 2 * float((taper * lags * cov[lags]).sum()), float(cov[0] + 2 * (taper * cov[lags]).sum())
+    if level <= 0 or spread == 0:
         return 1.0
-    pair = [float(eps[k:] @ eps[: n - k]) / math.sqrt(float(eps[k:] @ eps[k:]) * float(eps[: n - k] @ eps[: n - k])) if k else 1.0 for k in range(m_max + 1)]
-    bound = 2 * math.sqrt(math.log10(n) / n)
-    rho = np.abs(np.array(pair[1:]))
-    m = next((k for k in range(len(rho) - kn + 1) if (rho[k : k + kn] < bound).all()), None)
-    big = np.flatnonzero(rho > bound)
-    m = max(m, 1) if m is not None else (int(big[-1]) + 1 if len(big) else 1)
-    m = min(2 * m, m_max)
-    k = np.arange(-m, m + 1)
-    t = np.abs(k) / m
-    lam = np.where(t <= 0.5, 1.0, 2 * (1 - t))
-    c = cov[np.abs(k)]
-    g, lr = float((lam * np.abs(k) * c).sum()), float((lam * c).sum())
-    d = 2 * lr**2 if method == "stationary" else 4 / 3 * lr**2
-    if d <= 0:
-        return 1.0
-    return float(min(max(1.0, (2 * g * g / d) ** (1 / 3) * n ** (1 / 3)), b_max))
+    best = (2 * spread**2 / ((2 if method == "stationary" else 4 / 3) * level**2) * n) ** (1 / 3)
+    return float(min(max(1.0, best), 3 * math.sqrt(n), n / 3))
 
 
 def sharpe_rows(m: np.ndarray) -> np.ndarray:
@@ -85,29 +75,46 @@ def interval(values: DataFrame, confidence: float = 0.95) -> DataFrame:
 
 
 def reality_check(spark: SparkSession, matrix: np.ndarray, replicates: int = 1000, block: float | None = None, seed: int = 42) -> dict:
-    """p-values of White's Reality Check and of Hansen's consistent SPA for excess returns (rows by trials)."""
-    n, _ = matrix.shape
+    """p-values of White's Reality Check and of Hansen's consistent SPA for excess returns (rows by trials).
+
+    Replicates are drawn twice from the same seeds: first each task sums its means and their squares by trial, which gives
+    the deviations; then each replicate is reduced to whether its maxima reach those observed. Only counts reach the driver.
+    """
+    n, trials = matrix.shape
     if n < 10:
         return {"rc_p": math.nan, "spa_p": math.nan, "best": None}
-    mean = matrix.mean(0)
+    mean, root = matrix.mean(0), math.sqrt(n)
     block = block_length(matrix[:, int(np.argmax(mean))]) if block is None else block
     held = spark.sparkContext.broadcast(matrix)  # one trial matrix, as the caller holds it already
+    every = spark.range(0, replicates, 1, spark.sparkContext.defaultParallelism)
 
-    def work(frames):
+    def shifted(f):
         m = held.value
+        for r in f["id"]:
+            yield m[indices(n, np.random.default_rng([seed, int(r)]), "stationary", block)].mean(0) - mean
+
+    def sums(frames):
+        total = np.zeros((2, trials))
         for f in frames:
-            means = [m[indices(n, np.random.default_rng([seed, int(r)]), "stationary", block)].mean(0) for r in f["id"]]
-            yield pd.DataFrame({"rep": f["id"], "means": [x.tolist() for x in means]})
-
-    rows = spark.range(0, replicates, 1, spark.sparkContext.defaultParallelism).mapInPandas(work, "rep long, means array<double>").collect()
-    boot = np.array([r["means"] for r in sorted(rows, key=lambda r: r["rep"])])
-    root = math.sqrt(n)
-    rc = (1 + int((root * (boot - mean).max(1) >= root * mean.max()).sum())) / (1 + replicates)
-    omega = root * boot.std(0, ddof=1)
+            for x in shifted(f):
+                total += x, x * x
+        yield pd.DataFrame({"trial": np.arange(trials), "s": total[0], "q": total[1]})
+
+    got = every.mapInPandas(sums, "trial long, s double, q double").groupBy("trial").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("trial").collect()  # a row a trial
+    s, q = np.array([r["s"] for r in got]), np.array([r["q"] for r in got])
+    omega = root * np.sqrt(np.maximum(0.0, (q - s * s / replicates) / max(1, replicates - 1)))
     ok = omega > 1e-14
-    if not ok.any():
-        return {"rc_p": rc, "spa_p": math.nan, "best": int(np.argmax(mean))}
-    t = max(0.0, float((root * mean[ok] / omega[ok]).max()))
-    centre = np.where(root * mean[ok] / omega[ok] >= -math.sqrt(2 * math.log(math.log(n))), mean[ok], 0.0)
-    spa = (1 + int((np.maximum(0, (root * (boot[:, ok] - centre) / omega[ok]).max(1)) >= t).sum())) / (1 + replicates)
-    return {"rc_p": rc, "spa_p": spa, "best": int(np.argmax(mean))}
+    scaled = root * mean[ok] / omega[ok]
+    reached = max(0.0, float(scaled.max())) if ok.any() else math.nan
+    centre = np.where(scaled >= -math.sqrt(2 * math.log(math.log(n))), mean[ok], 0.0)
+
+    def hits(frames):
+        for f in frames:
+            rc, spa = 0, 0
+            for x in shifted(f):
+                rc += root * x.max() >= root * mean.max()
+                spa += bool(ok.any()) and max(0.0, float((root * ((x + mean)[ok] - centre) / omega[ok]).max())) >= reached
+            yield pd.DataFrame({"rc": [int(rc)], "spa": [int(spa)]})
+
+    n_rc, n_spa = every.mapInPandas(hits, "rc long, spa long").agg(F.sum("rc"), F.sum("spa")).first()
+    return {"rc_p": (1 + n_rc) / (1 + replicates), "spa_p": (1 + n_spa) / (1 + replicates) if ok.any() else math.nan, "best": int(np.argmax(mean))}

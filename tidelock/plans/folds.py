@@ -5,13 +5,19 @@ Rows are (pos, start, end): position and the label's interval, in bars or micros
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataError
+from ..shared import materialize, small
+
+DAY_US = 86_400_000_000
 
 
 def intervals(spark: SparkSession, n: int, horizon: int = 0) -> DataFrame:
@@ -19,11 +25,64 @@ def intervals(spark: SparkSession, n: int, horizon: int = 0) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("pos"), F.col("id").alias("start"), F.least(F.col("id") + horizon, F.lit(n - 1)).alias("end"))
 
 
+def positions(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
+    """df with the place of each row in the order of some columns, from 0. Ranges are sorted by themselves and shifted by the counts before them."""
+    ranged = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialize(ranged.withColumns({"_part": F.shiftright("_at", 33).cast("int"), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}), "positions")
+    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())  # a row for each task
+    starts = np.concatenate([[0], np.cumsum([n for _, n in counts])]).tolist()
+    table = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(counts, starts, strict=False)], "_part int, _start long")
+    return ranged.join(F.broadcast(table), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
+def event_intervals(df: DataFrame, start: str, end: str, *order: str) -> DataFrame:
+    """Event-mode labels: (pos, start, end) in microseconds, pos by the order given (start by default). A row whose start lies before that of the row ahead, an end before its start, a missing time, and times with and without a zone side by side are errors."""
+    kinds = {dict(df.dtypes)[c] for c in (start, end)}
+    if kinds == {"timestamp", "timestamp_ntz"}:
+        raise DataError("one of the label times has a time zone and the other has none")
+    if kinds - {"timestamp", "timestamp_ntz", "date"}:
+        raise DataError(f"label times must be timestamps or dates, not {sorted(kinds)}")
+    if not df.where(F.col(start).isNull() | F.col(end).isNull()).isEmpty():
+        raise DataError("a label lacks a time")
+    micros = {c: F.unix_micros(F.col(c).cast("timestamp")) for c in (start, end)}
+    rows = positions(df, *(order or (start, end))).select("pos", micros[start].alias("start"), micros[end].alias("end"))
+    check_intervals(rows)
+    return rows
+
+
 def check_intervals(rows: DataFrame) -> None:
-    w = Window.orderBy("pos")
-    bad = rows.select((F.col("end") < F.col("start")).alias("a"), (F.col("start") < F.lag("start").over(w)).alias("b")).agg(F.count_if("a").alias("a"), F.count_if("b").alias("b")).first()
-    if bad["a"] or bad["b"]:
-        raise DataError("label intervals must be sorted by start and must not end before they start")
+    """Raises where a label ends before it starts or starts before the label of the row ahead: neighbours meet by their place, without a window over all."""
+    if first := rows.where("end < start").orderBy("pos").first():
+        raise DataError(f"the label at position {first['pos']} ends before it starts")
+    ahead = rows.select((F.col("pos") + 1).alias("pos"), F.col("start").alias("_before"))
+    if first := rows.join(ahead, "pos").where("start < _before").orderBy("pos").first():
+        raise DataError(f"labels are not sorted by start: position {first['pos']} is earlier than the one ahead")
+
+
+def duration_us(value) -> int:
+    """Microseconds of a duration: text such as '5D' or '36 hours', a timedelta or a Timedelta. Negative ones and what is no duration are errors."""
+    try:
+        found = pd.Timedelta(value)
+    except (ValueError, TypeError) as e:
+        raise DataError(f"{value!r} is no duration") from e
+    if found is pd.NaT or found < pd.Timedelta(0):
+        raise DataError(f"a duration is not negative: {value!r}")
+    return found.value // 1000
+
+
+def is_duration(value) -> bool:
+    return isinstance(value, str | dt.timedelta | np.timedelta64 | pd.Timedelta)
+
+
+def format_seconds(seconds: float | None) -> str:
+    """Days and hh:mm:ss, with fractions where there are any."""
+    if seconds is None or seconds != seconds:
+        return "-"
+    sign, left = ("-" if seconds < 0 else ""), round(abs(seconds) * 1_000_000)
+    days, left = divmod(left, DAY_US)
+    whole, micros = divmod(left, 1_000_000)
+    text = f"{whole // 3600:02d}:{whole // 60 % 60:02d}:{whole % 60:02d}" + (f".{micros:06d}".rstrip("0") if micros else "")
+    return sign + (f"{days} day{'s' if days != 1 else ''} " if days else "") + text
 
 
 def fold_bounds(n: int, k: int) -> list[tuple[int, int]]:
@@ -44,26 +103,45 @@ def embargo_rows(n: int, embargo: float | int) -> int:
     return int(embargo)
 
 
-def purged_splits(spark: SparkSession, rows: DataFrame, blocks: dict[int, list[tuple[int, int]]], n: int, embargo: int = 0) -> DataFrame:
+def purged_splits(spark: SparkSession, rows: DataFrame, blocks: dict[int, list[tuple[int, int]]], n: int, embargo: int | str | dt.timedelta = 0) -> DataFrame:
     """(split, pos, role): role is test, train, purged or embargo. blocks: test blocks [first, end) of each split, by position.
 
     Purged: intervals that touch a block's span [its first start, its greatest end], ends included. Embargoed: the next
-    rows after the later of the block's end and the last row that starts within the span.
+    rows after the later of the block's end and the last row that starts within the span; or, with a duration, the rows
+    that start after the span and not later than that much after it. A split without training rows is an error.
     """
+    us = duration_us(embargo) if is_duration(embargo) else 0
     table = spark.createDataFrame([(s, a, b) for s, bs in blocks.items() for a, b in bs], "split int, a long, b long")
     spans = rows.join(F.broadcast(table), (F.col("pos") >= F.col("a")) & (F.col("pos") < F.col("b"))).groupBy("split", "a", "b").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
-    # The greatest position that starts inside each span: one aggregate over rows, for a table of as many spans as blocks.
-    anchors = rows.join(F.broadcast(spans), F.col("start") <= F.col("hi")).groupBy("split", "a", "b", "lo", "hi").agg(F.greatest(F.max("pos"), F.col("b") - 1).alias("anchor"))
+    if is_duration(embargo) or embargo == 0:
+        anchors, after = spans.withColumn("anchor", F.lit(0).cast("long")), f"start > s.hi and start <= s.hi + {us}"
+    else:
+        # The greatest position that starts inside each span: one aggregate over rows, for a table of as many spans as blocks.
+        anchors = rows.join(F.broadcast(spans), F.col("start") <= F.col("hi")).groupBy("split", "a", "b", "lo", "hi").agg(F.greatest(F.max("pos"), F.col("b") - 1).alias("anchor"))
+        after = f"pos > s.anchor and pos <= s.anchor + {embargo}"
     each = anchors.groupBy("split").agg(F.collect_list(F.struct("a", "b", "lo", "hi", "anchor")).alias("spans"))
     all_rows = rows.crossJoin(F.broadcast(each))  # one row per split and position is the result
     role = F.expr(f"""case when exists(spans, s -> pos >= s.a and pos < s.b) then 'test'
         when exists(spans, s -> start <= s.hi and end >= s.lo) then 'purged'
-        when exists(spans, s -> pos > s.anchor and pos <= s.anchor + {embargo}) then 'embargo' else 'train' end""")
+        when exists(spans, s -> {after}) then 'embargo' else 'train' end""")
     return all_rows.select("split", "pos", role.alias("role"))
 
 
-def kfold(spark: SparkSession, rows: DataFrame, n: int, k: int, embargo: float | int = 0) -> DataFrame:
-    return purged_splits(spark, rows, {i: [b] for i, b in enumerate(fold_bounds(n, k))}, n, embargo_rows(n, embargo))
+def require_training(splits: DataFrame) -> DataFrame:
+    """splits, or an error that names the first split without a training row."""
+    empty = splits.groupBy("split").agg(F.count_if(F.col("role") == "train").alias("_n")).where("_n = 0").orderBy("split").first()
+    if empty:
+        raise DataError(f"split {empty['split']}: purge and embargo leave no row to train on")
+    return splits
+
+
+def _embargo(n: int, embargo):
+    return embargo if is_duration(embargo) else embargo_rows(n, embargo)
+
+
+def kfold(spark: SparkSession, rows: DataFrame, n: int, k: int, embargo: float | int | str = 0) -> DataFrame:
+    """Purged k-fold. A duration as embargo needs rows of event_intervals()."""
+    return purged_splits(spark, rows, {i: [b] for i, b in enumerate(fold_bounds(n, k))}, n, _embargo(n, embargo))
 
 
 def combinatorial_blocks(n: int, groups: int, k: int) -> tuple[list[tuple[int, ...]], dict[int, list[tuple[int, int]]]]:
@@ -79,8 +157,15 @@ def combinatorial_blocks(n: int, groups: int, k: int) -> tuple[list[tuple[int, .
     return combos, blocks
 
 
-def combinatorial(spark: SparkSession, rows: DataFrame, n: int, groups: int, k: int, embargo: float | int = 0) -> DataFrame:
-    return purged_splits(spark, rows, combinatorial_blocks(n, groups, k)[1], n, embargo_rows(n, embargo))
+def combinatorial(spark: SparkSession, rows: DataFrame, n: int, groups: int, k: int, embargo: float | int | str = 0) -> DataFrame:
+    return purged_splits(spark, rows, combinatorial_blocks(n, groups, k)[1], n, _embargo(n, embargo))
+
+
+def group_of(n: int, groups: int):
+    """Column: the group of a position, in closed form (the first n mod groups have one more)."""
+    q, r = divmod(n, groups)
+    p = F.col("pos")
+    return F.when(p < r * (q + 1), F.floor(p / (q + 1))).otherwise(r + F.floor((p - r * (q + 1)) / max(q, 1))).cast("int")
 
 
 def paths(spark: SparkSession, groups: int, k: int) -> DataFrame:
@@ -122,10 +207,25 @@ def diagram(folds: list[tuple[int, int, int, int, int]], n: int, width: int = 60
     return "\n".join(line(f) for f in folds)
 
 
+def runs(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, first, last): the runs of neighbouring positions, by the difference of position and rank within keys."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    return df.select(*keys, "pos").distinct().withColumn("_g", F.col("pos") - F.row_number().over(w)).groupBy(*keys, "_g").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).drop("_g")
+
+
+def leaks(splits: DataFrame, rows: DataFrame) -> DataFrame:
+    """(split, pos) of training rows that are test rows too, or whose label touches the span of a run of test rows. A span for each run, not a pair of rows for each pair."""
+    test = splits.where("role = 'test'")
+    blocks = runs(test, "split")
+    at = test.join(rows, "pos").join(small(blocks), "split").where((F.col("pos") >= F.col("first")) & (F.col("pos") <= F.col("last")))
+    spans = at.groupBy("split", "first", "last").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+    train = splits.where("role = 'train'")
+    both = train.select("split", "pos").intersect(test.select("split", "pos"))
+    touching = train.join(rows, "pos").join(small(spans), "split").where((F.col("start") <= F.col("hi")) & (F.col("end") >= F.col("lo")))
+    return touching.select("split", "pos").union(both).distinct()
+
+
 def assert_no_leak(splits: DataFrame, rows: DataFrame) -> None:
-    """Raises where a train interval touches a test interval of its split."""
-    p = splits.join(rows, "pos")
-    test = p.where("role = 'test'").select("split", F.col("start").alias("s"), F.col("end").alias("e"))
-    hit = p.where("role = 'train'").join(test, "split").where((F.col("start") <= F.col("e")) & (F.col("end") >= F.col("s")))
-    if not hit.isEmpty():
+    """Raises where training and test rows, or their labels, overlap."""
+    if not leaks(splits, rows).isEmpty():
         raise DataError("train and test labels overlap")
