@@ -27,21 +27,88 @@ class Rule:
     fix: str = ""
 
 
-def _rules(category: str, prefix: str, titles: dict[str, str]) -> dict[str, Rule]:
-    return {f"{prefix}-{n}": Rule(f"{prefix}-{n}", category, t) for n, t in titles.items()}
+def _rules(category: str, prefix: str, titles: dict[str, tuple[str, str]]) -> dict[str, Rule]:
+    return {f"{prefix}-{n}": Rule(f"{prefix}-{n}", category, *t) for n, t in titles.items()}
 
 
-# The checks that the engine knows, one id each.
+# The checks that the engine knows, one id each, and what to do about an issue.
 RULES: dict[str, Rule] = (
-    _rules("data", "DATA", {"000": "Preparation log", "001": "Unparseable timestamps", "002": "Timestamps out of order", "003": "Price columns", "004": "Duplicate timestamps", "005": "Duplicate rows", "006": "Impossible OHLC", "007": "Non-positive prices", "008": "Missing values", "009": "Gaps", "010": "Time zones", "011": "Stale prices", "012": "Infinite values", "013": "Extreme returns", "014": "Empty data", "015": "Unsynchronised symbols"})
-    | _rules("static", "CODE", {"000": "Source does not parse", "001": "Negative shift", "002": "Centred window", "003": "Future-oriented construction", "004": "Random split", "005": "Randomised cross-validation", "006": "Fit before split", "007": "Full-sample normalisation", "008": "Target among features", "009": "Same-bar execution", "010": "Unlagged signal", "011": "No costs", "012": "Feature from the future", "013": "Excessive search", "014": "No out-of-sample", "015": "Non-causal transform"})
-    | _rules("causality", "CAUSAL", {"001": "Weights depend on the future", "002": "Not deterministic", "003": "Strategy fails on perturbed data", "004": "Perturbations had no effect"})
-    | _rules("leakage", "LEAK", {"001": "Feature equals target", "002": "Feature equals a future return", "003": "Signal foresees returns"})
-    | _rules("execution", "EXEC", {"001": "Edge lost to costs", "002": "Cost drag", "003": "Break-even close to costs", "004": "Fill cannot be tested", "005": "Trades before their signals", "006": "Delay destroys the edge"})
-    | _rules("statistics", "STAT", {"001": "Sharpe interval", "002": "Probabilistic Sharpe", "003": "Deflated Sharpe", "004": "Autocorrelation", "005": "Track record", "006": "Too few returns", "007": "Trials not declared"})
-    | _rules("validation", "VAL", {"001": "Probability of overfitting", "002": "Walk-forward", "003": "Combinatorial paths", "004": "Data snooping"})
-    | _rules("sensitivity", "SENS", {"001": "Fragile optimum", "002": "Ranks do not carry over"})
-    | _rules("regimes", "REG", {"001": "Regime with losses"})
+    _rules("data", "DATA", {
+        "000": ("Preparation log", "Prepare the data before the audit if these steps are not what you want."),
+        "001": ("Invalid timestamps", "Repair or drop the rows whose time does not parse."),
+        "002": ("Non-monotonic timestamps", "Sort the data by time at its source."),
+        "003": ("Missing price or OHLC fields", "Name the price columns open, high, low and close."),
+        "004": ("Duplicate timestamps", "Keep one row for each time and symbol."),
+        "005": ("Duplicated observations", "Drop the copies."),
+        "006": ("Impossible OHLC relationships", "Check the vendor's adjustment of these bars."),
+        "007": ("Non-positive prices", "Replace them by missing values or use another series."),
+        "008": ("Missing values", "Decide on a rule for missing values that uses the past alone."),
+        "009": ("Unexplained gaps", "Check these spans against the exchange's calendar."),
+        "010": ("Timezone inconsistency", "Write all times with one zone."),
+        "011": ("Stale prices", "Do not carry prices forward over days without trades."),
+        "012": ("Infinite values", "Look for divisions by zero upstream."),
+        "013": ("Extreme single-period returns", "Check splits, currencies and bad ticks on these days."),
+        "014": ("Empty or insufficient data", "Give at least two rows with a time and a price."),
+        "015": ("Unsynchronised symbols", "Complete the symbols within the span they share."),
+    })
+    | _rules("static", "CODE", {
+        "000": ("Source cannot be parsed", "Repair the syntax."),
+        "001": ("Negative temporal shift", "Shift forward only, or keep the value for labels."),
+        "002": ("Centred window", "Use a trailing window."),
+        "003": ("Future-oriented construction", "Index at or before the current row."),
+        "004": ("Random split", "Split by time."),
+        "005": ("Randomised cross-validation", "Use walk-forward or purged folds."),
+        "006": ("Preprocessing fitted before the split", "Fit on the training rows alone."),
+        "007": ("Full-sample normalisation", "Use trailing or expanding moments."),
+        "008": ("Target leakage", "Take the target out of the features."),
+        "009": ("Same-bar execution assumption", "Execute at least one bar after the signal."),
+        "010": ("Missing execution lag", "Multiply the returns by the signal of the bar before."),
+        "011": ("Missing transaction costs", "Subtract costs from the returns."),
+        "012": ("Future-derived model features", "Build features from the past alone."),
+        "013": ("Large parameter search", "Declare the number of settings tried."),
+        "014": ("No out-of-sample evaluation", "Hold out the last part of the data."),
+        "015": ("Non-causal transformation", "Use a transform that looks back only."),
+    })
+    | _rules("causality", "CAUSAL", {
+        "001": ("Future perturbation changed past decisions", "Find the input that reads later rows."),
+        "002": ("Non-deterministic strategy", "Seed every draw."),
+        "003": ("Strategy errors on perturbed data", "Make the strategy total over valid bars."),
+        "004": ("Output insensitive to data", "Check that the strategy reads its data."),
+    })
+    | _rules("leakage", "LEAK", {
+        "001": ("Feature replicates the target", "Drop the feature."),
+        "002": ("Feature replicates a future return", "Drop the feature or lag it."),
+        "003": ("Implausible directional accuracy", "Look for look-ahead in the signal."),
+    })
+    | _rules("execution", "EXEC", {
+        "001": ("Performance depends on unrealistic execution", "Report results with a lag of one bar and with costs."),
+        "002": ("Transaction-cost model missing", "Declare costs and say where they come from."),
+        "003": ("Edge fragile to transaction costs", "Trade less, or verify costs on real fills."),
+        "004": ("Excessive turnover relative to edge", "Add a band without trades, or rebalance less often."),
+        "005": ("Trades before or at their signal", "Record real execution times."),
+        "006": ("Execution semantics not testable from bars", "Give data on which the declared fills can be tested."),
+    })
+    | _rules("statistics", "STAT", {
+        "001": ("Small sample", "Extend the evaluation."),
+        "002": ("Probabilistic Sharpe ratio", "Collect more out-of-sample data."),
+        "003": ("Deflated Sharpe ratio", "Report all trials, and search less."),
+        "004": ("Suspiciously strong statistics", "Treat the result as an error until it is explained."),
+        "005": ("Number of trials not declared", "Set statistics.trials."),
+        "006": ("Non-normal returns", "Do not use intervals that assume a normal distribution."),
+        "007": ("Serially correlated returns", "Use the adjusted Sharpe ratio."),
+    })
+    | _rules("validation", "VAL", {
+        "001": ("Out-of-sample evidence", "Confirm on data that the search has not seen."),
+        "002": ("Probability of backtest overfitting", "Simplify the search."),
+        "003": ("Combinatorial path performance", "Prefer settings whose paths are mostly positive."),
+        "004": ("Data-snooping test", "Treat the best setting as unproven."),
+    })
+    | _rules("sensitivity", "SENS", {
+        "001": ("Fragile parameter optimum", "Choose the middle of a plateau."),
+        "002": ("Unstable parameter ranking", "Select on validation data."),
+    })
+    | _rules("regimes", "REGIME", {"001": ("Regime-dependent performance", "Size the strategy for its bad regimes.")})
+    | _rules("engine", "META", {"STATIC": ("Static analysis not run", "Give the source."), "RUNTIME": ("Runtime checks not run", "Give the strategy and data.")})
 )
 
 
@@ -59,6 +126,11 @@ class Finding:
     def category(self) -> str:
         return RULES[self.rule].category if self.rule in RULES else "engine"
 
+    @property
+    def fix(self) -> str:
+        """What to do, for issues."""
+        return RULES[self.rule].fix if self.rule in RULES and self.severity >= Severity.WARN else ""
+
     @property
     def title(self) -> str:
         return RULES[self.rule].title if self.rule in RULES else self.rule
@@ -115,9 +187,13 @@ class Result:
         """The primary reason first, then up to five more."""
         return [f"{f.rule} {f.title}: {f.message}" for f in self.issues()[:6]] or ["No executed check found an issue."]
 
+    def next_steps(self) -> list[str]:
+        """What to do about the issues, the worst first, each once."""
+        return list(dict.fromkeys(f.fix for f in self.issues() if f.fix))[:6]
+
     def to_dict(self) -> dict:
-        items = [asdict(f) | {"severity": f.severity.name, "category": f.category, "title": f.title} for f in self.findings]
-        return plain({"status": self.status, "counts": self.counts(), "narrative": self.narrative(), "findings": items, "sections": self.sections, "manifest": self.manifest})
+        items = [asdict(f) | {"severity": f.severity.name, "category": f.category, "title": f.title, "fix": f.fix} for f in self.findings]
+        return plain({"status": self.status, "counts": self.counts(), "narrative": self.narrative(), "next_steps": self.next_steps(), "findings": items, "sections": self.sections, "manifest": self.manifest})
 
     @staticmethod
     def from_dict(d: dict) -> Result:
