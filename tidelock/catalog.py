@@ -143,16 +143,15 @@ def dq_monotonic(spark, sf_dir):
 
 @query("select count_if(p_name is null) as p_name, count_if(p_brand is null) as p_brand, count_if(p_retailprice is null or isnan(p_retailprice)) as p_retailprice from part")
 def dq_nulls(spark, sf_dir):
-    p = load(spark, sf_dir, "part")
-    return p.agg(F.count_if(F.col("p_name").isNull()).alias("p_name"), F.count_if(F.col("p_brand").isNull()).alias("p_brand"), F.count_if(F.col("p_retailprice").isNull() | F.isnan("p_retailprice")).alias("p_retailprice"))
+    return quality.missing_values(load(spark, sf_dir, "part").select("p_name", "p_brand", "p_retailprice"))
 
 
 @query(f"""{B}, g as (select symbol, ts, lead(ts) {W} as nx from (select distinct symbol, ts from b)), s as (select symbol, epoch_us(nx) / 1e6 - epoch_us(ts) / 1e6 as gap, nx::date > ts::date as cross_ from g where nx is not null),
 m as (select symbol, quantile_cont(gap, 0.5) as med, count(*) as n from s group by 1)
 select symbol, round(max(med), 3) as median_seconds, count_if(big) as n_gaps, round(max(case when big then gap end), 3) as longest_gap
-from (select s.*, med, n, gap > 3 * med and not (med < 86400 and cross_) and n >= 2 as big from s join m using (symbol)) group by symbol""")
+from (select s.*, med, n, gap > 5 * med and not (med < 86400 and cross_) and n >= 2 as big from s join m using (symbol)) group by symbol""")
 def dq_gaps(spark, sf_dir):
-    g = quality.gaps(bars(spark, sf_dir), 3.0, ["symbol"])
+    g = quality.gaps(bars(spark, sf_dir), 5.0, ["symbol"])
     return g.select("symbol", F.round("median_seconds", 3).alias("median_seconds"), "n_gaps", F.round("longest_gap", 3).alias("longest_gap"))
 
 
@@ -244,10 +243,20 @@ def fill_next_open(spark, sf_dir):
     return _fill(spark, sf_dir, "next_open", 1)
 
 
-@query()
+# The walk of the limit orders as a recursion over each symbol's rows.
+LIMIT_SQL = f"""with recursive {WT[5:]}, q as (select *, row_number() over (partition by symbol order by ts) as p, lag(close) {W} as prev, coalesce(lag(weight) {W}, 0) as want from wt),
+walk as (select symbol, p, 0.0::double as held, 0 as ordered, 0 as filled, 0.0::double as gross from q where p = 1
+ union all select symbol, p, case when hit then want else held end, (want <> held)::integer, hit::integer,
+  case when hit then (1 + held * (price / prev - 1)) * (1 + want * (close / price - 1)) - 1 else held * (close / prev - 1) end
+ from (select q.symbol, q.p, w.held, want, prev, close, want <> w.held and case when want > w.held then low <= prev * (1 - 0.001) else high >= prev * (1 + 0.001) end as hit,
+  case when want > w.held then least(prev * (1 - 0.001), open) else greatest(prev * (1 + 0.001), open) end as price from walk w join q on q.symbol = w.symbol and q.p = w.p + 1))"""
+
+
+@query(f"{LIMIT_SQL} select symbol, sum(ordered)::bigint as orders, sum(filled)::bigint as fills, round(sum(gross), 6) as gross, round(case when sum(ordered) > 0 then sum(filled) / sum(ordered) else 1 end, 6) as fill_rate from walk group by symbol")
 def fill_limit(spark, sf_dir):
     s = execution.limit_fill(weighted(bars(spark, sf_dir)), ["symbol"])
-    return s.groupBy("symbol").agg(F.sum("ordered").alias("orders"), F.sum("filled").alias("fills"), F.round(F.sum("gross"), 6).alias("gross"))
+    total = s.groupBy("symbol").agg(F.sum("ordered").alias("orders"), F.sum("filled").alias("fills"), F.round(F.sum("gross"), 6).alias("gross"))
+    return total.join(execution.fill_rate(s), "symbol").select("symbol", "orders", "fills", "gross", F.round("fill_rate", 6).alias("fill_rate"))
 
 
 @query(f"{NET} select strftime(ts, '%Y-%m-%d') as day, symbol, round(commission, 9) as cost_commission, round(spread, 9) as cost_spread, round(slippage, 9) as cost_slippage, round(cost, 9) as cost, round(net, 6) + 0.0 as net from n")
@@ -410,35 +419,66 @@ def padjust_bonferroni(spark, sf_dir):
 
 # ---- cross-validation
 
-N_ROWS, HORIZON = 240, 4
-ROWS_SQL = f"r as (select i as pos, i as s, least(i + {HORIZON}, {N_ROWS - 1}) as e from range({N_ROWS}) t(i))"
+# Labels of all orders: from the order on for as many days as its line numbers add up to, by order time.
+EVENTS_SQL = """ev as (select o_orderkey as k, o_orderdate as t0, o_orderdate + to_days(sum(l_linenumber)::integer) as t1 from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
+r as (select row_number() over (order by t0, t1, k) - 1 as pos, epoch_us(t0) as s, epoch_us(t1) as e from ev), nn as (select count(*) as n from r)"""
+
+
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    lines = li.groupBy("l_orderkey").agg(F.sum("l_linenumber").cast("int").alias("days"))
+    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("o_orderdate").alias("opened"), F.expr("o_orderdate + make_dt_interval(days)").alias("closed"))
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    rows = folds.event_intervals(order_events(spark, sf_dir), "opened", "closed", "opened", "closed", "o_orderkey")
+    return rows, rows.count()
 
 
-def _splits_sql(blocks: dict[int, list[tuple[int, int]]], embargo: int) -> str:
-    values = ", ".join(f"({s}, {a}, {b})" for s, bs in blocks.items() for a, b in bs)
-    return f"""with {ROWS_SQL}, bl(split, a, b) as (values {values}), sp as (select split, a, b, min(s) as lo, max(e) as hi from bl join r on pos >= a and pos < b group by 1, 2, 3),
-an as (select sp.*, greatest(b - 1, (select max(pos) from r where s <= hi)) as anchor from sp),
-f as (select k.split, r.pos, bool_or(r.pos >= a and r.pos < b) as test, bool_or(r.s <= hi and r.e >= lo) as purged, bool_or(r.pos > anchor and r.pos <= anchor + {embargo}) as emb from r cross join an k group by 1, 2)
-select split::integer as split, case when test then 'test' when purged then 'purged' when emb then 'embargo' else 'train' end as role, count(*) as n, min(pos)::bigint as first_pos, max(pos)::bigint as last_pos from f group by 1, 2"""
+def _bounds_sql(k: int) -> str:
+    return f"g as (select i::integer as g, i * (n // {k}) + least(i, n % {k}) as a, (i + 1) * (n // {k}) + least(i + 1, n % {k}) as b from nn, range({k}) t(i))"
+
+
+KFOLD_SQL = f"{_bounds_sql(5)}, bl as (select g as split, a, b from g)"
+CPCV_SQL = f"""{_bounds_sql(6)}, cb as (select row_number() over (order by x.g, y.g) - 1 as split, x.g as i, y.g as j from g x, g y where x.g < y.g),
+bl as (select split, x.a, y.b from cb join g x on x.g = i join g y on y.g = j where j = i + 1 union all select split, g.a, g.b from cb join g on g.g in (i, j) where j > i + 1)"""
+
+
+def _splits_sql(blocks: str, rows: str = "0", us: int | None = None) -> str:
+    """rows: SQL for the embargo in rows, with n; us: an embargo in microseconds in its place."""
+    after = "f.s > hi and f.s <= hi + " + str(us) if us is not None else f"f.pos > anchor and f.pos <= anchor + {rows}"
+    return f"""with {EVENTS_SQL}, {blocks}, sp as (select split, a, b, min(s) as lo, max(e) as hi from bl join r on pos >= a and pos < b group by 1, 2, 3),
+an as (select split, a, b, lo, hi, greatest(b - 1, max(pos)) as anchor from sp join r on s <= hi group by 1, 2, 3, 4, 5),
+x as (select split, f.pos, bool_or(f.pos >= a and f.pos < b) as test, bool_or(f.s <= hi and f.e >= lo) as purged, bool_or({after}) as emb from r f, an, nn group by 1, 2)
+select split::integer as split, case when test then 'test' when purged then 'purged' when emb then 'embargo' else 'train' end as role, count(*) as n, min(pos)::bigint as first_pos, max(pos)::bigint as last_pos from x group by 1, 2"""
 
 
 def _roles(df: DataFrame) -> DataFrame:
     return df.groupBy("split", "role").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-@query(_splits_sql({i: [b] for i, b in enumerate(folds.fold_bounds(N_ROWS, 5))}, 0))
+@query(_splits_sql(KFOLD_SQL))
 def purged_kfold_counts(spark, sf_dir):
-    return _roles(folds.kfold(spark, folds.intervals(spark, N_ROWS, HORIZON), N_ROWS, 5))
+    rows, n = event_rows(spark, sf_dir)
+    return _roles(folds.kfold(spark, rows, n, 5))
 
 
-@query(_splits_sql({i: [b] for i, b in enumerate(folds.fold_bounds(N_ROWS, 5))}, math.ceil(0.05 * N_ROWS)))
+@query(_splits_sql(KFOLD_SQL, "ceil(0.05 * n)"))
 def embargo_counts(spark, sf_dir):
-    return _roles(folds.kfold(spark, folds.intervals(spark, N_ROWS, HORIZON), N_ROWS, 5, 0.05))
+    rows, n = event_rows(spark, sf_dir)
+    return _roles(folds.kfold(spark, rows, n, 5, 0.05))
 
 
-@query(_splits_sql(folds.combinatorial_blocks(N_ROWS, 6, 2)[1], 3))
+@query(_splits_sql(KFOLD_SQL, us=20 * 86_400_000_000))
+def embargo_duration(spark, sf_dir):
+    rows, n = event_rows(spark, sf_dir)
+    return _roles(folds.kfold(spark, rows, n, 5, "20 days"))
+
+
+@query(_splits_sql(CPCV_SQL, "3"))
 def cpcv_splits(spark, sf_dir):
-    return _roles(folds.combinatorial(spark, folds.intervals(spark, N_ROWS, HORIZON), N_ROWS, 6, 2, 3))
+    rows, n = event_rows(spark, sf_dir)
+    return _roles(folds.combinatorial(spark, rows, n, 6, 2, 3))
 
 
 @query("with c as (select row_number() over (order by a, b) - 1 as split, a, b from range(6) x(a), range(6) y(b) where a < b), p as (select split, a as grp from c union all select split, b from c) select (row_number() over (partition by grp order by split) - 1)::integer as path, grp::integer as grp, split::integer as split from p")
@@ -446,20 +486,29 @@ def cpcv_paths(spark, sf_dir):
     return folds.paths(spark, 6, 2)
 
 
-WF = folds.walk_forward(300, 0.5, 4, 2)
-WF_SQL = ", ".join(str(f) for f in WF)
+# Windows over all rows of the trial matrix: half for the first training, four tests, a gap of two rows.
+WF_SQL = f"""{TRIALS}, nn as (select count(distinct ts) as n from t), sz as (select n // 2 as f, (n - n // 2 - 2) // 4 as z from nn),
+wf as (select i as fold, 0 as a, f + i * z as b, f + 2 + i * z as c, f + 2 + (i + 1) * z as d from sz, range(4) q(i))"""
+
 
+def windows_of(trials: DataFrame) -> list[tuple[int, int, int, int, int]]:
+    return folds.walk_forward(selection.finite_matrix(trials).select("timestamp").distinct().count(), 0.5, 4, 2)
 
-@query(f"select fold::integer as fold, a::bigint as train_from, b::bigint as train_end, c::bigint as test_from, d::bigint as test_end from (values {WF_SQL}) t(fold, a, b, c, d)")
+
+@query(f"{WF_SQL} select fold::integer as fold, a::bigint as train_from, b::bigint as train_end, c::bigint as test_from, d::bigint as test_end from wf")
 def wf_windows(spark, sf_dir):
-    return spark.createDataFrame(folds.walk_forward(300, 0.5, 4, 2), "fold int, train_from long, train_end long, test_from long, test_end long")
+    return spark.createDataFrame(windows_of(trial_matrix(spark, sf_dir)), "fold int, train_from long, train_end long, test_from long, test_end long")
+
 
+WF_CHOICE = f"""{WF_SQL}, p as (select *, row_number() over (partition by trial order by ts) - 1 as p from t),
+fs as (select fold, trial, avg(ret) filter (p >= a and p < b) / nullif(stddev_samp(ret) filter (p >= a and p < b), 0) as tr, avg(ret) filter (p >= c and p < d) / nullif(stddev_samp(ret) filter (p >= c and p < d), 0) as te from p, wf group by 1, 2),
+fk as (select *, row_number() over (partition by fold order by tr desc nulls last, trial) as n from fs)"""
 
-@query(f"""{TRIALS}, f(fold, a, b, c, d) as (values {WF_SQL}), p as (select *, row_number() over (partition by trial order by ts) - 1 as p from t),
-fs as (select fold, trial, avg(ret) filter (p >= a and p < b) / nullif(stddev_samp(ret) filter (p >= a and p < b), 0) as tr, avg(ret) filter (p >= c and p < d) / nullif(stddev_samp(ret) filter (p >= c and p < d), 0) as te from p, f group by 1, 2),
-fk as (select *, row_number() over (partition by fold order by tr desc nulls last, trial) as n from fs) select fold::integer as fold, trial::integer as trial, round(tr, 6) as train_sharpe, round(te, 6) as test_sharpe from fk where n = 1""")
+
+@query(f"{WF_CHOICE} select fold::integer as fold, trial::integer as trial, round(tr, 6) as train_sharpe, round(te, 6) as test_sharpe from fk where n = 1")
 def wf_selection(spark, sf_dir):
-    s = selection.walk_forward_selection(trial_matrix(spark, sf_dir), folds.walk_forward(300, 0.5, 4, 2))
+    t = trial_matrix(spark, sf_dir)
+    s = selection.walk_forward_selection(t, windows_of(t))
     return s.select("fold", "trial", F.round("train_sharpe", 6).alias("train_sharpe"), F.round("test_sharpe", 6).alias("test_sharpe"))
 
 
@@ -508,7 +557,7 @@ def surface_spearman(spark, sf_dir):
 
 
 VOL = f"""{IDX}, v as (select ts, ret, case when count(ret) over f >= 10 then stddev_samp(ret) over f end * sqrt(252) as vol from x window f as (order by ts rows between 20 preceding and 1 preceding)),
-q as (select quantile_cont(vol, 1/3) as q0, quantile_cont(vol, 2/3) as q1 from v), g as (select ts, ret, case when q1 > q0 then case when vol <= q0 then 'low' when vol <= q1 then 'mid' when vol is not null then 'high' end end as regime from v, q)"""
+q as (select quantile_cont(vol, 1/3) as q0, quantile_cont(vol, 2/3) as q1 from v), g as (select ts, ret, case when q1 > q0 then case when vol <= q0 then 'low' when vol <= q1 then 'normal' when vol is not null then 'high' end end as regime from v, q)"""
 
 
 @query(f"{VOL} select strftime(ts, '%Y-%m-%d') as day, regime from g")
@@ -516,12 +565,12 @@ def regime_vol(spark, sf_dir):
     return regimes.volatility_regimes(index_returns(spark, sf_dir), "ret", 20).select(day(), "regime")
 
 
-@query(f"{IDX}, e as (select ts, product(1 + coalesce(ret, 0)) over (order by ts) as e from x), d as (select ts, e / greatest(max(e) over (order by ts), 1) - 1 as d from e), l as (select ts, coalesce(lag(d) over (order by ts), 0) as d from d) select strftime(ts, '%Y-%m-%d') as day, case when d < -0.2 then 'crash' when d < -0.1 then 'deep' when d < -0.05 then 'mild' else 'near_high' end as regime from l")
+@query(f"{IDX}, e as (select ts, product(1 + coalesce(ret, 0)) over (order by ts) as e from x), d as (select ts, e / greatest(max(e) over (order by ts), 1) - 1 as d from e), l as (select ts, lag(d) over (order by ts) as d from d) select strftime(ts, '%Y-%m-%d') as day, case when d < -0.2 then 'deep_drawdown' when d < -0.1 then 'drawdown' when d is not null then 'normal' end as regime from l")
 def regime_drawdown(spark, sf_dir):
     return regimes.drawdown_regimes(index_returns(spark, sf_dir), "ret").select(day(), "regime")
 
 
-@query(f"{IDX}, g as (select ts, case when count(ret) over f = 26 then product(1 + coalesce(ret, 0)) over f - 1 end as g from x window f as (order by ts rows between 26 preceding and 1 preceding)) select strftime(ts, '%Y-%m-%d') as day, case when g > 0 then 'up' when g is not null then 'down' end as regime from g")
+@query(f"{IDX}, g as (select ts, case when count(*) over f = 26 then product(1 + coalesce(ret, 0)) over f - 1 end as g from x window f as (order by ts rows between 26 preceding and 1 preceding)) select strftime(ts, '%Y-%m-%d') as day, case when g > 0 then 'bull' when g is not null then 'bear' end as regime from g")
 def regime_trend(spark, sf_dir):
     return regimes.trend_regimes(index_returns(spark, sf_dir), "ret", 26).select(day(), "regime")
 
@@ -556,7 +605,15 @@ def next_close(b: causality.Bars) -> DataFrame:
     return b.df.select(*b.keys, "timestamp", F.lead("close").over(b.ts_window()).alias("weight"))
 
 
-@query()
+# What must come out: weights of the past alone never move; those of the next close move once in each symbol that has rows on both sides of the cutoff (two after it, to permute them).
+CUTS = f"""{B}, c as (select ts, row_number() over (order by ts) - 1 as p, count(*) over () as n from (select distinct ts from b)),
+ats as (select distinct round_even(f + (n - 2 - f) * i / 7.0, 0)::bigint as p from (select max(n) as n, greatest(1, floor(0.2 * max(n)))::bigint as f from c), range(8) q(i)),
+cut as (select ts as cutoff, row_number() over (order by c.p) - 1 as k from c join ats using (p)),
+sc as (select scheme, i from (values ('additive', 0), ('multiplicative', 1), ('permute', 2), ('replace', 3), ('extreme', 4)) v(scheme, i))"""
+
+
+@query(f"""{CUTS} select 'trailing_mean' as strategy, (5 * k + i)::integer as trial, scheme, 0::bigint as n_changed from cut, sc
+union all select 'next_close', (5 * k + i)::integer, scheme, (select count(*) from (select symbol from b group by symbol having min(ts) <= cutoff and count(*) filter (ts > cutoff) > case scheme when 'permute' then 1 else 0 end)) from cut, sc""")
 def perturb_extreme_diff(spark, sf_dir):
     """A causal and a non-causal strategy under perturbed futures."""
     b = bars(spark, sf_dir)
@@ -581,10 +638,21 @@ def reality_check(spark, sf_dir):
     return spark.createDataFrame([(got["rc_p"], got["spa_p"], got["best"])], "rc_p double, spa_p double, best int")
 
 
-@query()
+BLOCK_SQL = f"""{IDX}, y as (select row_number() over (order by ts) as p, ret - (select avg(ret) from x) as d from x where ret is not null), nn as (select count(*) as n, greatest(5, ceil(sqrt(log10(count(*)))))::bigint as kn from y),
+mm as (select n, kn, least(ceil(sqrt(n))::bigint + kn, n - 1) as far from nn), lg as (select unnest(range(0, far + 1)) as k from mm),
+cv as (select k, sum(u.d * v.d) / max(n) as c from lg, mm, y u join y v on v.p + k = u.p group by k),
+si as (select k, c, abs(c / (select c from cv where k = 0)) < 2 * sqrt(log10(n) / n) as quiet from cv, mm),
+ru as (select k, count(*) filter (quiet) over (order by k rows between current row and 4 following) as q, count(*) over (order by k rows between current row and 4 following) as w from si),
+la as (select coalesce((select min(k) from ru, mm where k >= 1 and k <= far - kn + 1 and q = 5 and w = 5), max(far)) as m from mm),
+bg as (select least(2 * m, far) as g, n from la, mm),
+sm as (select max(n) as n, 2 * sum(least(1.0, 2 * (1 - k / g)) * k * c) as spread, (select c from cv where k = 0) + 2 * sum(least(1.0, 2 * (1 - k / g)) * c) as level from cv, bg where k >= 1 and k <= g),
+ln as (select n, pow(2 * spread * spread / (2.0 * level * level) * n, 1.0 / 3) as st, pow(2 * spread * spread / (4.0 / 3 * level * level) * n, 1.0 / 3) as ci, level from sm)"""
+
+
+@query(f"{BLOCK_SQL} select 'stationary' as method, round(case when level <= 0 then 1 else least(greatest(1, st), 3 * sqrt(n), n / 3) end, 6) as length from ln union all select 'circular', round(case when level <= 0 then 1 else least(greatest(1, ci), 3 * sqrt(n), n / 3) end, 6) from ln")
 def block_length(spark, sf_dir):
     x = _values(index_returns(spark, sf_dir))
-    return spark.createDataFrame([(m, resample.block_length(x, m)) for m in ("stationary", "circular")], "method string, length double")
+    return spark.createDataFrame([(m, round(resample.block_length(x, m), 6)) for m in ("stationary", "circular")], "method string, length double")
 
 
 @query()
@@ -592,11 +660,17 @@ def effective_trials(spark, sf_dir):
     return spark.createDataFrame([(selection.effective_trials(trial_matrix(spark, sf_dir)),)], "effective_trials double")
 
 
-@query()
+# The normal distribution by Simpson's rule on a grid of 1/1000, for the SQL side alone.
+PHI = "greatest(0.0, 0.5 + (select sum(case when u = 0 or u = 2000 then 1 when u % 2 = 1 then 4 else 2 end * exp(-0.5 * ({x} * u / 2000.0) * ({x} * u / 2000.0))) from range(2001) q(u)) * ({x} / 2000.0) / 3 / sqrt(2 * pi()))"
+#: Quantiles of the normal distribution at 1 - 1/12 and 1 - 1/(12 e), and Euler's constant.
+HURDLE = "(1 - 0.5772156649015329) * 1.3829941271006392 + 0.5772156649015329 * 1.8712297693581532"
+
+
+@query(f"{M}, h as (select *, sqrt(1.0 / (n - 1)) * ({HURDLE}) as hurdle from se), z as (select hurdle, (sharpe - hurdle) / sharpe_se as z from h) select round({PHI.format(x='z')}, 6) as dsr, round(z, 6) as z, round(hurdle, 6) as hurdle from z")
 def deflated_sharpe(spark, sf_dir):
     m = moments.moments_by(index_returns(spark, sf_dir), "ret", []).first().asDict()
     d = moments.deflated_sharpe(m, 12)
-    return spark.createDataFrame([(d["dsr"], d["z"], d["hurdle"])], "dsr double, z double, hurdle double")
+    return spark.createDataFrame([(round(d["dsr"], 6), round(d["z"], 6), round(d["hurdle"], 6))], "dsr double, z double, hurdle double")
 
 
 # ---- alignment, ranks and surfaces
@@ -655,8 +729,11 @@ def returns_from_equity(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_rules, catalog_tables  # they register themselves  # noqa: F401
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: _counts(sql) for name, sql in _SQL.items()}
