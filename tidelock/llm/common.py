@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes (8 a plain value, all those of strings and arrays) that a broadcast may hold; more are joined by a shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+from ..shared import clear, fresh_dir, is_small, materialize, small  # noqa: F401
+
 #: Keys with the most rows that join_unique() joins by broadcast where the whole table is too large for one.
 HEAVY_KEYS = 100_000
 #: The characters of `[\x20\x09-\x0D]`.
@@ -19,60 +16,6 @@ SPACE_CLASS = r"[ \\t\\n\\x0B\\f\\r]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine is a new local folder set where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            root = kept.get()
-        elif spark.sparkContext.master.partition("[")[0] == "local":
-            root = "file://" + tempfile.mkdtemp(prefix="tidelock-")
-            spark.sparkContext.setCheckpointDir(root)
-        else:
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return root.rstrip("/")
-
-
-_made: list[str] = []
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete the tables written so far but for those that `keep` reads. For callers that have written their result elsewhere."""
-    held = [f.rsplit("/", 1)[0].rstrip("/").rpartition(":")[2].lstrip("/") for f in keep.inputFiles()] if keep is not None else []
-    for path in list(_made):
-        if path.rpartition(":")[2].lstrip("/") not in held:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-            _made.remove(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if it is counted to have at most so many rows and bytes. df should be a written table."""
-    return F.broadcast(df) if is_small(df, rows, limit) else df
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, limit: int = BROADCAST_BYTES) -> bool:
-    """Counted by partial sums in each task; only these meet."""
-    plain = [c for c, kind in df.dtypes if kind in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")]
-    sizes = [F.sum(F.octet_length(F.col(c).cast("string"))) for c in df.columns if c not in plain]
-    n, *wide = df.agg(F.count(F.lit(1)), *sizes).first()
-    return n <= rows and 8 * n * len(plain) + sum(x or 0 for x in wide) <= limit
-
-
 def join_unique(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
     """Inner join with a written table `right` that has one row a key and, in `weight`, about how many rows of left the key has.
 
