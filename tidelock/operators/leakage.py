@@ -6,12 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
-
-
-def _corr(a, b):
-    pair = a.isNotNull() & b.isNotNull()
-    x, y = F.when(pair, a), F.when(pair, b)
-    return F.when((F.count(x) >= 10) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+from . import windows as wn
 
 
 def feature_correlations(df: DataFrame, features: list[str], ret: str, target: str | None = None, leads: int = 5) -> DataFrame:
@@ -19,7 +14,7 @@ def feature_correlations(df: DataFrame, features: list[str], ret: str, target: s
     w = Window.orderBy("timestamp")
     rows = df.withColumns({f"_f{h}": F.lead(ret, h).over(w) for h in range(1, leads + 1)})
     against = ([(0, F.col(target))] if target else []) + [(h, F.col(f"_f{h}")) for h in range(1, leads + 1)]
-    wide = rows.agg(*[_corr(F.col(f), c).alias(f"{f}|{h}") for f in features for h, c in against])
+    wide = rows.agg(*[wn.correlation(F.col(f), c, 10).alias(f"{f}|{h}") for f in features for h, c in against])
     items = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(h).alias("lead"), F.col(f"`{f}|{h}`").alias("corr")) for f in features for h, _ in against])
     return wide.select(F.explode(items).alias("_i")).select("_i.*")
 

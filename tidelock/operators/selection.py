@@ -240,11 +240,20 @@ def surface_reading(best: float, near_median: float, robust: float = 0.7, fragil
     return ratio, "undetermined" if math.isnan(ratio) else "robust" if ratio >= robust else "fragile" if ratio < fragile else "moderate"
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+#: Rows up to which ranks of a whole column are taken by one window.
+ONE_WINDOW = 100_000
+
+
+def spearman(df: DataFrame, a: str, b: str, most: int = ONE_WINDOW) -> DataFrame:
     """One row: n and rank correlation of two columns, ties averaged; null for fewer than three pairs or a constant."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = rows.select(wn.average_rank(F.col(a)).alias("_a"), wn.average_rank(F.col(b)).alias("_b"))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) >= 3) & (F.stddev_pop("_a") > 0) & (F.stddev_pop("_b") > 0), F.corr("_a", "_b")).alias("spearman"))
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    if rows.limit(most + 1).count() <= most:
+        ranked = rows.select(wn.average_rank(F.col("a")).alias("_a"), wn.average_rank(F.col("b")).alias("_b"))
+    else:
+        rows = materialize(rows, "pairs")
+        found = {c: materialize(plan.ranks(rows, c).withColumnRenamed("rank", f"_{c}"), "ranks") for c in "ab"}
+        ranked = rows.join(small(found["a"]), "a").join(small(found["b"]), "b")
+    return ranked.agg(F.count(F.lit(1)).alias("n"), wn.correlation(F.col("_a"), F.col("_b"), 3).alias("spearman"))
 
 
 def surface(results: DataFrame, params: list[str], metric: str, oos: str | None = None, robust: float = 0.7, fragile: float = 0.4) -> dict:

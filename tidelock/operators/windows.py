@@ -64,6 +64,14 @@ def island(change: Column, w: WindowSpec) -> Column:
     return F.sum(change.cast("long")).over(w.rowsBetween(START, 0))
 
 
+def correlation(x: Column, y: Column, least: int) -> Column:
+    """Aggregate: Pearson correlation of the pairs of finite values; null for fewer than `least` or a constant, where corr itself divides by zero."""
+    x, y = clean(x), clean(y)
+    pair = x.isNotNull() & y.isNotNull()
+    x, y = F.when(pair, x), F.when(pair, y)
+    return F.when(F.count(x) >= least, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def autocorrelations(df: DataFrame, value: str, order: str, lags: int) -> DataFrame:
     """(lag, rho) for lags 1.. of one series: sum(x_t x_t-k) / sum(x^2) on demeaned values, 0 without variance."""
     x = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(df.agg(F.avg(value).alias("_m")))).select(F.col(order).alias("_o"), (F.col(value) - F.col("_m")).alias("_x"))

@@ -35,6 +35,18 @@ def positions(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     return ranged.join(F.broadcast(table), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
+def ranks(df: DataFrame, column: str) -> DataFrame:
+    """(column, rank) of each different value: ascending, ties averaged. Values are counted first, ranges of them ranked by themselves and shifted by the counts before them."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(F.col(column).asc_nulls_first())
+    counts = materialize(counts.withColumn("_part", F.spark_partition_id()), "ranks")
+    totals = sorted((r["_part"], r["_t"]) for r in counts.groupBy("_part").agg(F.sum("_n").alias("_t")).collect())  # a row for each task
+    starts = np.concatenate([[0], np.cumsum([n for _, n in totals])]).tolist()
+    table = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(totals, starts, strict=False)], "_part int, _start long")
+    before = F.sum("_n").over(Window.partitionBy("_part").orderBy(F.col(column).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    rank = F.col("_start") + F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2
+    return counts.join(F.broadcast(table), "_part").select(column, rank.cast("double").alias("rank"))
+
+
 def event_intervals(df: DataFrame, start: str, end: str, *order: str) -> DataFrame:
     """Event-mode labels: (pos, start, end) in microseconds, pos by the order given (start by default). A row whose start lies before that of the row ahead, an end before its start, a missing time, and times with and without a zone side by side are errors."""
     kinds = {dict(df.dtypes)[c] for c in (start, end)}
