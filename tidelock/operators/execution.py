@@ -160,9 +160,13 @@ def limit_fill(bars: DataFrame, keys: list[str], offset_bps: float = 10.0) -> Da
     """Orders of the bar before at its close -/+ offset: a buy fills if the low reaches it, at the better of limit and open; else it lapses.
 
     Whether a weight is held depends on whether earlier orders filled, so a symbol's bars are walked in order, each symbol by itself.
+    A missing or zero price gives no return.
     """
     import pandas as pd
 
+    def change(now: float, before: float) -> float:
+        return now / before - 1 if before and before == before and now == now else 0.0
+
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp").reset_index(drop=True)
         held, prev, want, out = 0.0, None, 0.0, []
@@ -176,7 +180,7 @@ def limit_fill(bars: DataFrame, keys: list[str], offset_bps: float = 10.0) -> Da
                     if lo <= limit if buy else h >= limit:
                         price, filled = (min(limit, o) if buy else max(limit, o)), 1
                         trade, held = want - held, want
-                gross = (1 + old * (price / prev - 1)) * (1 + held * (c / price - 1)) - 1 if filled else old * (c / prev - 1)
+                gross = (1 + old * change(price, prev)) * (1 + held * change(c, price)) - 1 if filled else old * change(c, prev)
             out.append((held, trade, gross, price, ordered, filled))
             prev, want = c, 0.0 if pd.isna(target) else float(target)
         return pd.concat([pdf, pd.DataFrame(out, columns=["held", "trade", "gross", "price", "ordered", "filled"])], axis=1)

@@ -110,6 +110,7 @@ def load_trials(spark: SparkSession, source) -> DataFrame:
 class Artifacts:
     """Results of another tool. Trial returns are long: timestamp, trial, ret."""
 
+    # The names of the tables.
     returns: DataFrame | None = None
     trial_returns: DataFrame | None = None
     trial_params: DataFrame | None = None
