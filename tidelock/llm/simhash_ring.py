@@ -31,8 +31,10 @@ from .common import is_small, join_unique, materialize, small
 BITS, MAX_DIFFER, SEGMENTS, SHINGLE, SEED = 64, 2, 7, 3, 42
 #: Distinct fingerprints under one key from which on they meet under finer keys.
 CROWD = 64
+#: Near copies under one key of which all pairs meet at once.
+NEAR_CROWD = 16
 #: Near copies: bits, the most of them that differ, words of a shingle, keys and the least hashes in each, first partners in a crowd.
-WIDE_BITS, WIDE_DIFFER, WIDE_SHINGLE, KEYS, KEY_HASHES, HUBS = 256, 40, 5, 16, 5, 16
+WIDE_BITS, WIDE_DIFFER, WIDE_SHINGLE, KEYS, KEY_HASHES, HUBS = 256, 40, 5, 16, 5, 4
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -153,21 +155,30 @@ def ring_links(nodes: DataFrame, max_differ: int = MAX_DIFFER, segments: int = S
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for every node of the links (a, b): the least node that can be reached. Rounds: logarithmic in the longest path."""
-    links = materialize(links, "links")
-    both = materialize(links.union(links.select("b", "a")).toDF("src", "dst"), "links-both")
-    labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("src"), F.min("dst")).alias("label")), "labels")
+    """(node, label) for every node of the links (a, b): the least node that can be reached.
+
+    Each round every node takes its least neighbour for parent, parents are followed to their roots, and only links
+    between different roots are left: at least half of the parts go in a round, and few links outlive the first.
+    """
+    links, labels = materialize(links.toDF("a", "b"), "links"), None
     while True:
-        near = both.join(labels.toDF("dst", "_l"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("_l").alias("_near"))
-        stepped = materialize(labels.join(near, "node").select("node", "label", F.least("label", "_near").alias("_new")), "labels-step")
-        # Jump: a label that has itself a lower label stands for that one. One row per label, so the join cannot multiply.
-        jump = stepped.select(F.col("node").alias("_new"), F.col("_new").alias("_to"))
-        used = stepped.select("_new").distinct().join(jump, "_new").where(F.col("_to") < F.col("_new"))
-        merged = stepped.join(used, "_new", "left").select("node", F.coalesce("_to", "_new").alias("_next"), "label")
-        merged = materialize(merged, "labels")
-        changed = merged.where(F.col("_next") < F.col("label")).limit(1).count()
-        labels = merged.select("node", F.col("_next").alias("label"))
-        if not changed:
+        both = links.union(links.select("b", "a")).toDF("node", "near")
+        step = materialize(both.groupBy("node").agg(F.least(F.min("node"), F.min("near")).alias("label"), F.count(F.lit(1)).alias("n")), "labels")
+        while True:
+            parents = step.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+            higher = materialize(step.select("label").distinct().join(parents, "label").where(F.col("_to") < F.col("label")), "labels-higher")
+            if not higher.limit(1).count():
+                break
+            step = materialize(step.join(small(higher), "label", "left").select("node", F.coalesce("_to", "label").alias("label"), "n"), "labels-step")
+        if labels is None:
+            labels = step.select("node", "label")
+        else:
+            moved = materialize(step.where(F.col("node") != F.col("label")).select(F.col("node").alias("label"), F.col("label").alias("_to")), "labels-moved")
+            labels = materialize(labels.join(small(moved), "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
+        ends = [step.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"), "n") for c in "ab"]
+        rooted = join_unique(join_unique(links, ends[0], ["a"], "n"), ends[1], ["b"], "n")
+        links = materialize(rooted.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "links")
+        if not links.limit(1).count():
             return labels
 
 
@@ -207,7 +218,7 @@ def _near(max_differ: int) -> str:
     return f"({chains}) and {ring(0, n)} <= {max_differ}"
 
 
-def key_links(nodes: DataFrame, max_differ: int = WIDE_DIFFER, crowd: int = CROWD, hubs: int = HUBS) -> DataFrame:
+def key_links(nodes: DataFrame, max_differ: int = WIDE_DIFFER, crowd: int = NEAR_CROWD, hubs: int = HUBS) -> DataFrame:
     """(node, label) of every node (node, f0.., keys) that shares a key with another from which it differs in at most max_differ bits: components of these links."""
     lanes = [f"f{i}" for i in range(len(_LANES))]
     keyed = nodes.select("node", *lanes, F.explode("keys").alias("key"))
@@ -218,8 +229,9 @@ def key_links(nodes: DataFrame, max_differ: int = WIDE_DIFFER, crowd: int = CROW
         other = right.select(F.col("key").alias("_key"), F.col("node").alias("_node"), *[F.col(c).alias(f"_{c}") for c in (*lanes, *kept)])
         return left.join(other, F.expr(f"key = _key and {apart} and {_near(max_differ)}"))
 
+    # The first partners of a crowd are chosen by their own hash alone, so that crowds of the same texts have the same ones.
     few, many = members.where(F.col("size") <= crowd), members.where(F.col("size") > crowd)
-    first = many.where(F.expr(f"pmod(xxhash64(node, key), cast(ceil(size / {hubs}) as bigint)) = 0"))
+    first = many.where(F.expr(f"pmod(xxhash64(node), cast(ceil(size / {hubs}) as bigint)) = 0"))
     links = met(few, few, "node < _node").select("node", "_node").union(met(many, small(materialize(first, "near-hubs")), "node <> _node").select("node", "_node"))
     labels = components(links.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct())
     if not many.limit(1).count():
