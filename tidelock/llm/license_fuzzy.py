@@ -28,6 +28,18 @@ NOTICES = {
     "this source code form is subject to the terms of the mozilla public license": "mpl",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved no part of this publication may be reproduced": "proprietary",
+    "you should have received a copy of the gnu general public license along with this program": "gpl",
+    "licensed under the gnu lesser general public license": "lgpl",
+    "licensed under the gnu affero general public license": "agpl",
+    "you may not use this file except in compliance with the license": "apache-2.0",
+    "the software is provided as is without warranty of any kind express or implied": "mit",
+    "this software is provided by the copyright holders and contributors as is": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "distributed under the boost software license version 1 0": "bsl-1.0",
+    "made available under the terms of the eclipse public license": "epl",
+    "creative commons attribution sharealike 4 0 international license": "cc-by-sa-4.0",
+    "creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4.0",
+    "dedicated to the public domain under cc0 1 0 universal": "cc0",
 }
 #: One edit for so many characters of a notice.
 CHARS_PER_EDIT = 16
