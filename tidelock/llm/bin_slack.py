@@ -21,6 +21,8 @@ from . import pieces
 from .common import materialize, small
 
 CAPACITY, END_ID = 2048, 1
+#: Pieces that a worker keeps, and bytes of text worked on at once: half of what the encoder would take, for executors that hold other stages' memory too.
+KEPT_PIECES, CHUNK_BYTES = 150_000, 2 << 20
 PIECE_SCHEMA = "doc_id bigint, start bigint, length int, doc_tokens bigint, part int, local_rank bigint, ids binary"
 PLACE_SCHEMA = "_length int, _rank_from bigint, _rank_to bigint, _first_sequence bigint, _offset bigint"
 
@@ -29,10 +31,10 @@ def cut_partition(batches, path: str, capacity: int, end_id: int):
     """(doc_id, text) -> pieces with their ids (little-endian unsigned 32 bits) and their rank among the part's pieces of their length."""
     from pyspark import TaskContext
 
-    part, enc, seen = TaskContext.get().partitionId(), pieces.encoder(path), np.zeros(capacity + 1, np.int64)
+    part, enc, seen = TaskContext.get().partitionId(), pieces.encoder(path, KEPT_PIECES), np.zeros(capacity + 1, np.int64)
     for batch in pieces.released(batches):
         doc_ids, texts = batch.column(0), pieces.filled(batch.column(1))
-        for a, b in pieces.chunks(texts):
+        for a, b in pieces.chunks(texts, CHUNK_BYTES):
             ids, offsets = pieces.with_end(*enc.encode(texts.slice(a, b - a)), end_id)
             totals = np.diff(offsets)
             n_pieces = -(-totals // capacity)

@@ -15,7 +15,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,9 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.col("text").cast("string").alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
 
-    @F.pandas_udf("binary")
-    def grams(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t).astype(np.int32).tobytes() for t in texts])
+    @F.arrow_udf("binary")
+    def grams(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py()).astype(np.int32).tobytes() for t in texts], pa.binary())
 
     rows = rows.select("_doc", "_y", grams("_text").alias("_x")).groupBy("_doc", "_y").agg(F.max("_x").alias("_x"))
     rows = materialize(rows.withColumn("_h", F.xxhash64("_doc")), "labelled")
@@ -169,9 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
 def score(text: Column, model: Model) -> Column:
     """Score of each whole text: 0 to 1. Null and empty texts are scored like any other, by the bias."""
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        out = pd.Series([model.score(features(t)) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        out = pa.array([model.score(features(t.as_py())) for t in texts], pa.float64())  # one text at a time as a Python string
         pieces.give_back()
         return out
 

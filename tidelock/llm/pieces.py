@@ -27,10 +27,11 @@ MARKED_PIECES = 100
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each Python worker and file."""
+def encoder(path: str, kept: int = KEPT_PIECES) -> PieceEncoder:
+    """One encoder for each Python worker and file, which keeps at most so many pieces."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
+    _encoders[path].most = kept
     return _encoders[path]
 
 
@@ -98,7 +99,7 @@ class PieceEncoder:
         marks = [t for t in spec["added_tokens"] if t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.mark, self.mark_id = (marks[0]["content"], marks[0]["id"]) if marks else (None, None)
-        self.seen = np.zeros(1 << 23, bool)
+        self.seen, self.most = np.zeros(1 << 23, bool), KEPT_PIECES
         self._forget()
 
     def _forget(self) -> None:
@@ -110,7 +111,7 @@ class PieceEncoder:
 
     def _slots_of(self, pieces: list[str]) -> np.ndarray:
         """Places of the pieces in starts and lengths. Pieces met for the first time are dropped at the next call."""
-        if len(self.slots) > KEPT_PIECES:
+        if len(self.slots) > self.most:
             self._forget()
         slots, base = self.slots, len(self.slots)
         self.starts, self.lengths, self.ids = self.starts[:base], self.lengths[:base], self.ids[: self.kept_ids]
