@@ -401,6 +401,38 @@ def test_op8_match_is_a_heaviest_one():
         assert [n.label for n in wrapper_html._preorder(again)] == [n.label for n in wrapper_html._preorder(a)]
 
 
+def test_op8_long_lists_are_aligned_whole(monkeypatch):
+    rng = np.random.default_rng(8)
+
+    def tree(labels):
+        node = wrapper_html.Node("", "r", False)
+        node.kids = [wrapper_html.Node("", x, False) for x in labels]
+        return node
+
+    a, b = (["abc"[i] for i in rng.integers(3, size=n)] for n in (1100, 1000))
+    line = [0] * (len(b) + 1)
+    for x in a:
+        before, line = line, [0]
+        for j, y in enumerate(b):
+            line.append(before[j] + 1 if x == y else max(before[j + 1], line[j]))
+    assert len(wrapper_html.match(tree(a), tree(b))) == 1 + line[-1]
+
+    def near(depth):
+        node = wrapper_html.Node("", "ab"[int(rng.integers(2))] if depth < 3 else "r", False)
+        node.kids = [near(depth - 1) for _ in range(int(rng.integers(0, 6)))] if depth else []
+        return node
+
+    for _ in range(100):
+        x, y = near(3), near(3)
+        found = []
+        for change in ({}, {"PLAIN_CELLS": 0}, {"PLAIN_CELLS": 0, "TABLE_CELLS": 1, "KEPT_WEIGHTS": 1}, {"PLAIN_CELLS": 0, "SPARSE_PAIRS": 0}):
+            with monkeypatch.context() as m:
+                for name, value in change.items():
+                    m.setattr(wrapper_html, name, value)
+                found.append([(id(p), id(q)) for p, q in wrapper_html.match(x, y)])
+        assert found[0] == found[1] == found[2] and len(found[0]) == len(found[3]) == best_match(x, y)
+
+
 def test_op8_class_words_do_not_take_content():
     page = '<article><div class="article-header"><h1>Title</h1></div><p class="notice">Court notice text</p><p>x</p><div class="comments"><p>Nice</p></div><ul id="related-posts"><li>More</ul></article>'
     assert wrapper_html.extract(page) == "Title\nCourt notice text\nx"
@@ -437,6 +469,26 @@ def test_op8_nodes_meet_by_their_place(spark):
     assert host_texts(spark, ["", "<", *pages, "<p>" * 300 + "x" * 100_000])[-1] == "x" * 100_000
 
 
+def test_op8_large_pages_are_aligned_too(spark, monkeypatch):
+    """A line that every second page has is told by its place in the alignment alone, on pages of any size."""
+    page = "<div><p>Own {i}</p>{line}<i>mark</i></div><div>text {i}</div>"
+    pages = [page.format(i=i, line="<p>Line of all</p>" if i % 2 else "") for i in range(12)]
+    texts = [f"Own {i}\ntext {i}" for i in range(12)]
+    assert host_texts(spark, pages) == texts
+    nodes = [p + "<ul>" + "<li></li>" * 600 + "</ul>" for p in pages]
+    assert host_texts(spark, nodes) == texts
+    names = [p + f"<ul id={'x' * 20_000}></ul>" for p in pages]
+    monkeypatch.setattr(wrapper_html, "LOT_TIMES", 0)
+    monkeypatch.setattr(wrapper_html, "LOT_CHARS", 50_000)  # some pages a lot
+    assert host_texts(spark, names) == texts  # held by the workers
+    monkeypatch.setattr(wrapper_html, "HELD_CHARS", 0)
+    assert host_texts(spark, names) == texts
+    rows = [(j, f"http://{h}.example/{j}", p) for h, of in (("a", nodes), ("b", names), ("c", pages), ("d", nodes[:2])) for j, p in enumerate(of)]
+    got = wrapper_html.main_texts(spark.createDataFrame([*rows, (99, None, None), (98, "http://a.example/", "")], "page_id bigint, url string, html string")).collect()
+    told = Counter((r.url, r.text) for r in got)
+    assert told == Counter([(u, texts[j]) for j, u, _ in rows if "d." not in u] + [("http://d.example/0", "Own 0\nmark\ntext 0"), ("http://d.example/1", "Own 1\nLine of all\nmark\ntext 1"), (None, ""), ("http://a.example/", "")])
+
+
 def test_op8_template_goes_and_slots_stay(spark):
     page = "<html><body><div class=x>Site {h}</div><div class=y>Body of page {i}</div><div class=z>Last words {h}</div></body></html>"
     rows = [(i, f"http://{h}.example/{i}", page.format(h=h, i=i)) for h in ("a", "b") for i in range(20)] + [(50, None, None), (51, "http://a.example/x", ""), (52, "http://c.example", page.format(h="c", i=1))]

@@ -16,20 +16,27 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import is_small, join_unique, materialize
+from .common import is_small, join_unique, materialize, shuffle_parts, small
 
 #: Pages with a path from which on its texts are judged, and the share of them in which a text of the template stands.
 LEAST_PAGES, CONSTANT_SHARE = 3, 0.8
 #: Elements whose paths make the layout of a page.
 LAYOUT = frozenset("body div section header footer nav aside main article form table".split())
-#: Most nodes and characters of a reference, which goes along with its pages; a layout of larger pages only has no reference.
-REF_NODES, REF_CHARS = 500, 16_000
-#: Pairs of children that are weighed for one page; child lists beyond stay unaligned, and their nodes meet by their labels.
-MATCH_CELLS = 1_000_000
+#: Most characters of a reference that goes along with each page, and of the larger ones that go to each worker. Beyond, one goes ahead of each lot of its pages.
+REF_CHARS, HELD_CHARS = 16_000, 1 << 20
+#: Characters of the pages in a lot: so many times those of the reference, and so many at least. Bytes of a task of lots.
+LOT_TIMES, LOT_CHARS, LOTS_BYTES = 16, 4 << 20, 128 << 20
+#: Cells of a table of children that is made of plain numbers; larger ones are made a row at a time by numpy, and TABLE_CELLS of them are held at once.
+PLAIN_CELLS, TABLE_CELLS = 4_000, 1_000_000
+#: Pairs of nodes beyond which those that can meet at all are told first; weights of pairs that are kept (others are taken again).
+SPARSE_PAIRS, KEPT_WEIGHTS = 100_000, 1_000_000
+#: References, and nodes of them, that a worker keeps parsed; others are parsed again.
+KEPT_TREES, KEPT_NODES = 200, 250_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -53,7 +60,7 @@ _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]
 
 
 class Node:
-    __slots__ = ("drop", "kids", "label", "parts", "shape", "size", "soft", "tag")
+    __slots__ = ("core", "drop", "kids", "label", "live", "most", "parts", "size", "soft", "tag")
 
     def __init__(self, tag: str, label: str, drop: bool, soft: bool = False):
         self.tag, self.label, self.drop, self.soft, self.parts = tag, label, drop, soft, []
@@ -182,18 +189,21 @@ def _preorder(root: Node) -> list[Node]:
 
 
 def outline(root: Node) -> str:
-    """The labels of a page's tree with their depths, a line each; empty if it is too large for a reference."""
-    lines, todo, size = [], [(root, 0)], 0
+    """The labels of a page's tree with their depths, a line each."""
+    lines, todo = [], [(root, 0)]
     while todo:
         node, depth = todo.pop()
         lines.append(f"{depth} {node.label}")
-        size += len(lines[-1]) + 1
-        if size > REF_CHARS or len(lines) > REF_NODES:
-            return ""
         todo.extend((kid, depth + 1) for kid in reversed(node.kids))
     return "\n".join(lines)
 
 
+def rank(lines: str) -> tuple[int, str, int | None]:
+    """What an outline is judged by, the largest of a layout being its reference: its last line's number, itself if it may go along with each page, else a hash."""
+    nodes = lines.count("\n")
+    return (nodes, lines, None) if len(lines) < REF_CHARS else (nodes, "", _signed(xxh64_intdigest(lines)))
+
+
 def tree_of(lines: str) -> Node | None:
     """The tree of an outline()."""
     path: list[Node] = []
@@ -207,78 +217,208 @@ def tree_of(lines: str) -> Node | None:
     return path[0] if path else None
 
 
-def _shape(nodes: list[Node]) -> None:
-    """Sets shape (equal for equal trees of labels) and size of nodes in preorder."""
-    for node in reversed(nodes):
-        node.shape = hash((node.label, *(k.shape for k in node.kids)))
-        node.size = 1 + sum(k.size for k in node.kids)
+def _measure(root: Node) -> None:
+    """Sets size, and core (equal for equal trees of labels), live (children in it) and most (nodes in it) to those of the whole trees."""
+    for node in reversed(_preorder(root)):
+        node.live = node.kids
+        node.core = hash((node.label, *(k.core for k in node.kids)))
+        node.size = node.most = 1 + sum(k.size for k in node.kids)
 
 
-def match(a: Node, b: Node, cells: int = MATCH_CELLS) -> list[tuple[Node, Node]]:
+def _prune(a: Node, b: Node) -> None:
+    """Sets core, live and most to those of the trees without nodes whose labels from the root down the other tree does not have: these cannot pair."""
+    trees = []
+    for root in (a, b):
+        trees.append(found := [])
+        todo = [(root, hash(root.label))]
+        while todo:
+            node, path = todo.pop()
+            found.append((node, path))
+            todo.extend((kid, hash((path, kid.label))) for kid in reversed(node.kids))
+    both = {path for _, path in trees[0]} & {path for _, path in trees[1]}
+    for found in trees:
+        paths = {id(node): path for node, path in found}
+        for node, _ in reversed(found):
+            node.live = [k for k in node.kids if paths[id(k)] in both]
+            node.core = hash((node.label, *(k.core for k in node.live)))
+            node.most = 1 + sum(k.most for k in node.live)
+
+
+def _ends(x: Node, y: Node) -> tuple[int, int]:
+    """How many children are equal trees at the beginning and at the end of two lists."""
+    xs, ys = x.live, y.live
+    n = min(len(xs), len(ys))
+    head = next((i for i in range(n) if xs[i].core != ys[i].core), n)
+    return head, next((i for i in range(n - head) if xs[-1 - i].core != ys[-1 - i].core), n - head)
+
+
+def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: pairs of a heaviest match of two trees, in which roots and, below paired nodes, children of equal label pair in order.
 
-    Children that are equal trees at both ends of two lists pair at once, which costs no weight. No recursion: trees may be deep.
+    Children that are equal trees at both ends of two lists pair at once, which costs no weight, and equal pairs of trees
+    are weighed once. Lists of any length are aligned whole; a long one in memory that grows with its length only. No
+    recursion over nodes: trees may be deep.
     """
-    if getattr(a, "shape", None) is None:  # a reference is measured once
-        _shape(_preorder(a))
-    _shape(_preorder(b))
+    if getattr(a, "size", None) is None:  # a reference is measured once
+        _measure(a)
+    _measure(b)
     if a.label != b.label:
         return []
+    if a.size * b.size > SPARSE_PAIRS:
+        _prune(a, b)
+    elif a.most != a.size:
+        _measure(a)
     known: dict[tuple[int, int], int] = {}
-    chosen: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
-    left = [cells]
-
-    def below(x: Node, y: Node):
-        """A generator: asks for the weights of pairs of children that it needs, ends with the weight of the pair."""
-        xs, ys, pairs = x.kids, y.kids, []
-        n = min(len(xs), len(ys))
-        head = next((i for i in range(n) if xs[i].shape != ys[i].shape), n)
-        tail = next((i for i in range(n - head) if xs[-1 - i].shape != ys[-1 - i].shape), n - head)
-        pairs += zip(xs[:head], ys[:head], strict=True)
-        ends = list(zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True))
-        weight = 1 + sum(p.size for p, _ in [*pairs, *ends])
-        xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
-        if xs and ys and len(xs) * len(ys) <= left[0]:
-            left[0] -= len(xs) * len(ys)
-            table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            weights = {}
-            for i, p in enumerate(xs):
-                for j, q in enumerate(ys):
-                    best = max(table[i][j + 1], table[i + 1][j])
-                    if p.label == q.label:
-                        weights[i, j] = w = p.size if p.shape == q.shape else (yield p, q)
-                        best = max(best, table[i][j] + w)
-                    table[i + 1][j + 1] = best
-            i, j, middle = len(xs), len(ys), []
-            while i and j:
-                if (w := weights.get((i - 1, j - 1))) and table[i][j] == table[i - 1][j - 1] + w:
+    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    # Generators ask for the weights of pairs of nodes by yielding them.
+    def weight(p: Node, q: Node):
+        if p.core == q.core:
+            return p.most
+        if not p.live or not q.live:
+            return 1
+        return known.get((p.core, q.core)) or (yield p, q)
+
+    def plain(xs: list[Node], ys: list[Node]):
+        """(weight, pairs of indexes) of a heaviest match of two lists."""
+        table, weights = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)], {}
+        for i, p in enumerate(xs):
+            for j, q in enumerate(ys):
+                best = max(table[i][j + 1], table[i + 1][j])
+                if p.label == q.label:
+                    weights[i, j] = w = p.most if p.core == q.core else (yield from weight(p, q))
+                    best = max(best, table[i][j] + w)
+                table[i + 1][j + 1] = best
+        i, j, pairs = len(xs), len(ys), []
+        while i and j:
+            if (w := weights.get((i - 1, j - 1))) and table[i][j] == table[i - 1][j - 1] + w:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif table[i][j] == table[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return table[-1][-1], pairs[::-1]
+
+    def long(xs: list[Node], ys: list[Node], paired: bool):
+        """The same as plain(), for long lists; without the pairs unless they are asked for."""
+        if turned := len(xs) > len(ys):  # the shorter list makes the rows
+            xs, ys = ys, xs
+        kinds: dict[str, dict[int, tuple[int, Node]]] = {}  # label: core: its number, a node
+        numbers = np.array([kinds.setdefault(q.label, {}).setdefault(q.core, (k, q))[0] for k, q in enumerate(ys)])
+        rows: dict[int, np.ndarray | None] = {}
+
+        def row(i: int):
+            """Weights of xs[i] and each of ys; None if all are zero."""
+            p = xs[i]
+            if p.label not in kinds:
+                return None
+            if p.core not in rows:
+                if len(rows) * len(ys) > TABLE_CELLS:
+                    rows.clear()
+                of = np.zeros(len(ys), np.int64)
+                for k, q in kinds[p.label].values():
+                    of[k] = yield from (weight(q, p) if turned else weight(p, q))
+                rows[p.core] = of[numbers]
+            return rows[p.core]
+
+        def after(last, w):
+            if w is None:
+                return last
+            line = last.copy()
+            np.maximum(last[1:], last[:-1] + w[: len(last) - 1], out=line[1:])
+            return np.maximum.accumulate(line, out=line)
+
+        pairs = []
+
+        def back(low: int, high: int, first, j: int):
+            """Pairs of rows low to high, backwards from column j; first is the line of the table before them. Returns the column where it ends."""
+            if not j:
+                return 0
+            step = 1 if (high - low) * (j + 1) <= TABLE_CELLS else -(-(high - low) // 16)
+            starts = range(low, high, step)
+            line = first[: j + 1]
+            lines = [line]
+            for i in range(low, high if step == 1 else starts[-1]):
+                line = after(line, (yield from row(i)))
+                if (i + 1 - low) % step == 0:
+                    lines.append(line)
+            if step > 1:
+                for start, line in zip(reversed(starts), reversed(lines), strict=True):
+                    j = yield from back(start, min(start + step, high), line, j)
+                return j
+            i = high
+            while i > low and j:
+                w = yield from row(i - 1)
+                here, above = lines[i - low], lines[i - low - 1]
+                if w is not None and w[j - 1] and here[j] == above[j - 1] + w[j - 1]:
                     i, j = i - 1, j - 1
-                    middle.append((xs[i], ys[j]))
-                elif table[i][j] == table[i - 1][j]:
+                    pairs.append((j, i) if turned else (i, j))
+                elif (here[j] != here[j - 1]) if turned else (here[j] == above[j]):
                     i -= 1
                 else:
                     j -= 1
-            pairs += middle[::-1]
-            weight += table[-1][-1]
-        chosen[id(x), id(y)] = pairs + ends
-        return weight
-
-    stack, value = [((a, b), below(a, b))], None
-    while stack:
-        pair, work = stack[-1]
-        try:
-            p, q = work.send(value)
-            value = known.get((id(p), id(q)))
-            if value is None:
-                stack.append(((p, q), below(p, q)))
-        except StopIteration as end:
-            value = known[id(pair[0]), id(pair[1])] = end.value
-            stack.pop()
+            return j
+
+        line = np.zeros(len(ys) + 1, np.int64)
+        if paired:
+            yield from back(0, len(xs), line, len(ys))
+            return None, pairs[::-1]
+        for i in range(len(xs)):
+            line = after(line, (yield from row(i)))
+        return int(line[-1]), None
+
+    def middle(x: Node, y: Node, paired: bool):
+        head, tail = _ends(x, y)
+        xs, ys = x.live[head : len(x.live) - tail], y.live[head : len(y.live) - tail]
+        if not xs or not ys:
+            found = 0, []
+        elif len(xs) * len(ys) <= PLAIN_CELLS:
+            found = yield from plain(xs, ys)
+        else:
+            found = yield from long(xs, ys, paired)
+        return head, tail, *found
+
+    def below(x: Node, y: Node):
+        """The weight of a pair of nodes."""
+        head, tail, best, pairs = yield from middle(x, y, False)
+        if pairs is not None:
+            chosen[x.core, y.core] = pairs
+        return 1 + best + sum(p.most for p in [*x.live[:head], *x.live[len(x.live) - tail :]])
+
+    def solved(work):
+        stack, value = [(None, work)], None
+        while stack:
+            try:
+                p, q = stack[-1][1].send(value)
+                value = known.get((p.core, q.core))
+                if value is None:
+                    stack.append(((p.core, q.core), below(p, q)))
+            except StopIteration as end:
+                value = end.value
+                pair = stack.pop()[0]
+                if pair:
+                    if len(known) >= KEPT_WEIGHTS:
+                        known.clear()
+                        chosen.clear()
+                    known[pair] = value
+        return value
+
     out, todo = [], [(a, b)]
+    if a.core != b.core:
+        solved(below(a, b))
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        todo.extend(reversed(chosen.get((id(x), id(y))) or list(zip(x.kids, y.kids, strict=False)) if x.shape == y.shape else chosen[id(x), id(y)]))
+        xs, ys = x.live, y.live
+        if x.core == y.core:
+            pairs = list(zip(xs, ys, strict=True))
+        else:
+            (head, tail), inner = _ends(x, y), chosen.get((x.core, y.core))
+            if inner is None:
+                inner = solved(middle(x, y, True))[3]
+            pairs = [*zip(xs[:head], ys[:head], strict=True), *((xs[head + i], ys[head + j]) for i, j in inner), *zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True)]
+        todo.extend(reversed(pairs))
     return out
 
 
@@ -287,10 +427,10 @@ _references: dict[str, tuple[Node | None, dict[int, int]]] = {}
 
 def _reference(lines: str) -> tuple[Node | None, dict[int, int]]:
     if lines not in _references:
-        if len(_references) > 200:
+        nodes = _preorder(tree_of(lines)) if lines else []
+        if len(_references) >= KEPT_TREES or sum(len(n) for _, n in _references.values()) + len(nodes) > KEPT_NODES:
             _references.clear()
-        tree = tree_of(lines)
-        _references[lines] = tree, {id(n): i for i, n in enumerate(_preorder(tree))} if tree else {}
+        _references[lines] = nodes[0] if nodes else None, {id(n): i for i, n in enumerate(nodes)}
     return _references[lines]
 
 
@@ -326,13 +466,14 @@ def witness(page: str | None, reference: str) -> dict:
 
 def induce(pages: list[str]) -> tuple[dict[int, str], dict[int, list[int]]]:
     """(reference, template keys) by layout, of the pages of one host. main_texts does the same by aggregates."""
-    largest: dict[int, tuple[int, str]] = {}
+    largest: dict[int, tuple] = {}
     for page in pages:
         root = parse(page)
         lines = outline(root)
         layout = content(root)[2]
-        largest[layout] = max(largest.get(layout, (0, "")), (lines.count("\n"), lines))
-    references = {layout: lines for layout, (_, lines) in largest.items()}
+        nodes, kept, mark = rank(lines)
+        largest[layout] = max(largest.get(layout, (-1,)), (nodes, kept, mark is not None, mark or 0, lines))
+    references = {layout: of[-1] for layout, of in largest.items()}
     found = {}
     for page in pages:
         w = witness(page, references[content(parse(page))[2]])
@@ -396,62 +537,127 @@ def extract(page: str | None, template=(), reference: str = "") -> str:
     return "\n".join(t for t in texts if t)
 
 
-LAID = "layout bigint, nodes int, lines string"
+LAID = "layout bigint, nodes int, lines string, mark bigint, chars int"
 
 
 def layout_batches(batches):
-    """Adds each page's layout and outline."""
+    """Adds each page's layout, the rank() of its outline and its characters."""
     import pyarrow as pa
 
     for batch in batches:
-        layouts, lines = [], []
+        rows = []
         for page in batch.column(2).to_pylist():
             root = parse(page)
-            layouts.append(content(root)[2])
-            lines.append(outline(root))
-        columns = [pa.array(layouts, pa.int64()), pa.array([x.count("\n") for x in lines], pa.int32()), pa.array(lines, pa.string())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["page_id", "url", "html", "host", "layout", "nodes", "lines"])
+            rows.append((content(root)[2], *rank(outline(root)), len(page)))
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["page_id", "url", "html", "host", "layout", "nodes", "lines", "mark", "chars"])
+
+
+def outline_batches(batches):
+    """Outlines in place of pages."""
+    import pyarrow as pa
+
+    for batch in batches:
+        lines = [outline(parse(page)) for page in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), *batch.columns[1:]], names=["ref", "host", "layout", "pages", "chars"])
+
+
+def _given(ref: str, keys, held) -> tuple[str, set[int]]:
+    """The outline and the template that a row brings along, or those held by a worker that it names."""
+    if ref.startswith("#"):
+        ref, keys = held.value[int(ref[1:])]
+    return ref, keys if isinstance(keys, frozenset) else frozenset(keys or ())
 
 
 WITNESS = "host string, article boolean, id bigint, layout bigint, marks array<struct<kind: tinyint, place: bigint, key: bigint, size: int, first: tinyint>>"
 
 
-def witness_batches(batches):
+def witness_batches(batches, held=()):
     import pyarrow as pa
 
+    lines = ""
     marks = pa.list_(pa.struct([("kind", pa.int8()), ("place", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("first", pa.int8())]))
     for batch in batches:
-        rows = [witness(page, lines) for page, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        columns = [batch.column(0)] + [pa.array([r[c] for r in rows], t) for c, t in (("article", pa.bool_()), ("id", pa.int64()), ("layout", pa.int64()), ("marks", marks))]
+        rows, hosts = [], []
+        for host, page, ref in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if ref is not None:
+                lines, _ = _given(ref, None, held)
+            if page is not None:
+                hosts.append(host)
+                rows.append(witness(page, lines))
+        columns = [pa.array(hosts, pa.string())] + [pa.array([r[c] for r in rows], t) for c, t in (("article", pa.bool_()), ("id", pa.int64()), ("layout", pa.int64()), ("marks", marks))]
         yield pa.RecordBatch.from_arrays(columns, names=["host", "article", "id", "layout", "marks"])
 
 
-def extract_batches(batches):
+def extract_batches(batches, held=()):
     import pyarrow as pa
 
+    lines, template = "", frozenset()
     for batch in batches:
-        rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
-        texts = [extract(page, set(keys or ()), lines) for page, lines, keys in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        texts, kept = [], []
+        for i, (page, ref, keys) in enumerate(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)):
+            if ref is not None:
+                lines, template = _given(ref, keys, held)
+            if page is not None:
+                kept.append(i)
+                texts.append(extract(page, template, lines))
+        ids = batch.select([0, 1]).take(pa.array(kept, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def laid_out(pages: DataFrame) -> DataFrame:
-    """page_id, url, html (null: empty), host, layout and its reference's outline (ref) of every row, written."""
+    """page_id, url, html (null: empty), host, layout, the rank of the outline, characters and a number (row) of every row, written."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(layout_batches, f"page_id {kind}, url string, html string, host string, {LAID}"), "pages", compression="zstd")
+    laid = rows.mapInArrow(layout_batches, f"page_id {kind}, url string, html string, host string, {LAID}")
+    return materialize(laid.withColumn("row", F.monotonically_increasing_id()), "pages", compression="zstd")
 
 
-def references(rows: DataFrame) -> DataFrame:
-    """host, layout, ref, pages: of each layout the outline of its largest page."""
-    largest = F.max(F.struct("nodes", "lines"))
-    return materialize(rows.groupBy("host", "layout").agg(largest.alias("_l"), F.count(F.lit(1)).alias("pages")).select("host", "layout", F.col("_l.lines").alias("ref"), "pages"), "references")
+def references(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """host, layout, ref, pages: of each layout the outline of its largest page, null if it is too large to go along with each; those too large, with the number of lots of their pages."""
+    largest = F.max(F.struct("nodes", "lines", "mark", "row"))
+    found = rows.groupBy("host", "layout").agg(largest.alias("_l"), F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"))
+    found = materialize(found.select("host", "layout", F.expr("if(_l.mark is null, _l.lines, null)").alias("ref"), "pages", "_l.row", "chars"), "references")
+    refs = found.select("host", "layout", "ref", "pages")
+    wide = found.where("ref is null").drop("ref")
+    if wide.isEmpty():
+        return refs, None
+    large = rows.select("row", "html").join(small(wide), "row").select("html", "host", "layout", "pages", "chars").mapInArrow(outline_batches, "ref string, host string, layout bigint, pages bigint, chars bigint")
+    return refs, materialize(large.withColumn("lots", F.expr(f"cast(ceil(chars / greatest({LOT_TIMES} * length(ref), {LOT_CHARS})) as bigint)")), "large-references", compression="zstd")
 
 
-def templates(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """host, layout, keys: of each layout with a template, its keys. Every page is read; only hashes and counts are dealt."""
-    seen = join_unique(rows.where("html <> ''").select("host", "layout", "html"), refs, ["host", "layout"], "pages").select("host", "html", "ref").mapInArrow(witness_batches, WITNESS)
+def with_references(rows: DataFrame, refs: DataFrame, large: DataFrame | None, columns: list[str], of_ref: list[str], work, schema: str) -> DataFrame:
+    """The columns of rows, html among them, and those of their layout's reference through `work`.
+
+    A row of `refs` goes along with each of its pages. Those of `large` go to each worker if they are few. Else each goes
+    ahead of every lot of its pages, a row without html before rows without a reference: its copies are at most one part
+    in LOT_TIMES of its pages and one more.
+    """
+    on, spark, held = ["host", "layout"], rows.sparkSession, ()
+    refs = refs.select(*on, *of_ref, "pages")
+    if large is not None:
+        keys = F.size("keys") if "keys" in of_ref else F.lit(0)
+        chars, width = large.agg(F.sum("chars"), F.sum(F.length("ref") + 20 * keys + 200)).first()
+        if (width or 0) <= HELD_CHARS:
+            found = large.select(*on, "pages", *of_ref).collect()
+            held = spark.sparkContext.broadcast([(r.ref, frozenset(r["keys"] if "keys" in of_ref else ())) for r in found])
+            names = spark.createDataFrame([(r.host, r.layout, f"#{i}", r.pages) for i, r in enumerate(found)], "host string, layout bigint, ref string, pages bigint")
+            refs, large = refs.unionByName(names, allowMissingColumns=True), None
+    out = join_unique(rows, refs, on, "pages").select(*columns, *of_ref).mapInArrow(lambda batches: work(batches, held), schema)
+    if large is None:
+        return out
+    dealt = join_unique(rows, large.select(*on, "lots", "pages"), on, "pages").withColumn("lot", F.expr("pmod(xxhash64(row), lots)"))
+    turn = [*on, "lot", "turn"]
+    dealt = dealt.select(*(F.col(c) for c in dict.fromkeys([*on, "lot", *columns])), F.lit(1).alias("turn"))
+    ahead = large.select(*on, *of_ref, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots") - 1)).alias("lot"), F.lit(0).alias("turn"))
+    lots = dealt.unionByName(ahead, allowMissingColumns=True).repartition(max(shuffle_parts(spark), chars // LOTS_BYTES), *turn[:3]).sortWithinPartitions(*turn)
+    return out.unionByName(lots.select(*columns, *of_ref).mapInArrow(work, schema))
+
+
+def templates(rows: DataFrame, refs: DataFrame, large: DataFrame | None) -> DataFrame:
+    """host, layout, keys: of each layout with a template, its keys. Every page is read; only hashes and counts are dealt, and the pages of large references."""
+    seen = with_references(rows.where("html <> ''"), refs.where("ref is not null"), large, ["host", "html"], ["ref"], witness_batches, WITNESS)
     once = seen.groupBy("host", "article", "id").agg(F.min(F.struct("layout", "marks")).alias("_w")).select("host", "article", "_w.layout", F.explode("_w.marks").alias("_m"))
     by_layout = once.groupBy("host", "article", "layout", "_m.kind", "_m.place", "_m.key").agg(F.count(F.lit(1)).alias("n"), F.sum("_m.first").alias("first"), F.max("_m.size").alias("size"))
     by_layout = materialize(by_layout.select("host", "article", "layout", "kind", "place", "key", "n", "first", "size"), "template-counts", compression="zstd")
@@ -478,10 +684,11 @@ def main_texts(pages: DataFrame) -> DataFrame:
     by the roles of elements alone. Rows may repeat (equal pages bear witness once); other columns are not read.
     """
     rows = laid_out(pages)
-    refs = references(rows)
-    found = templates(rows, refs)
-    known = materialize(refs.join(F.broadcast(found) if is_small(found) else found, ["host", "layout"], "left").select("host", "layout", F.when(F.col("keys").isNotNull(), F.col("ref")).otherwise("").alias("ref"), "keys", "pages"), "wrappers")
+    refs, large = references(rows)
+    found = templates(rows, refs, large)
+    known = refs.join(F.broadcast(found) if is_small(found) else found, ["host", "layout"], "left").select("host", "layout", F.when(F.col("keys").isNotNull(), F.col("ref")).otherwise("").alias("ref"), "keys", "pages")
+    known = materialize(known, "wrappers")
+    if large is not None:
+        large = materialize(large.join(known.where("ref is null").select("host", "layout", "keys"), ["host", "layout"]), "large-wrappers", compression="zstd")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return join_unique(rows.select("page_id", "url", "html", "host", "layout"), known, ["host", "layout"], "pages").select("page_id", "url", "html", "ref", "keys").mapInArrow(
-        extract_batches, f"page_id {kind}, url string, text string, n_chars bigint"
-    )
+    return with_references(rows, known.where("ref is not null"), large, ["page_id", "url", "html"], ["ref", "keys"], extract_batches, f"page_id {kind}, url string, text string, n_chars bigint")
